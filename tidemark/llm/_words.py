@@ -17,7 +17,7 @@ import pyarrow as pa
 U = np.uint64
 SLICE_BYTES = 2 << 20  # text that is worked on at once; the arrays take some 40 times as much
 _BASE = pow(6364136223846793005, 3, 2**64)
-_WORD_BASE = pow(2862933555777941757, 5, 2**64)
+WORD_BASE = pow(2862933555777941757, 5, 2**64)
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -107,7 +107,7 @@ def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, U)
     at = np.arange(n)
-    return mixed(Ranges.of(values, _WORD_BASE).hashes(at, at + width), width)
+    return mixed(Ranges.of(values, WORD_BASE).hashes(at, at + width), width)
 
 
 def shingles(w: Words, size: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +120,7 @@ def shingles(w: Words, size: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray
     first = np.concatenate([[0], np.cumsum(per_text)])
     at = np.arange(first[-1]) - np.repeat(first[:-1], per_text) + np.repeat(w.first[:-1], per_text)
     length = np.repeat(np.minimum(count, size), per_text)
-    out = mixed(Ranges.of(h, _WORD_BASE).hashes(at, at + length) + length.astype(U), size)
+    out = mixed(Ranges.of(h, WORD_BASE).hashes(at, at + length) + length.astype(U), size)
     return out, first
 
 

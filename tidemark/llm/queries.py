@@ -17,6 +17,23 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity score, learnt from the labelled documents that are not held out."""
+    from tidemark.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    rows = docs.withColumn("held_out", toxicity.held_out(docs["doc_id"]))
+    return toxicity.score(rows, model, keep=("doc_id", "held_out"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that repeated windows of 20 words remove."""
+    from tidemark.llm import substrings
+
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), 20)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as pieces of at most 4096 tokens, each with its sequence and place."""
     from tidemark.llm import packing
@@ -24,8 +41,26 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), 4096)
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of its near copies: five-word shingles, similarity 0.8 or more."""
+    from tidemark.llm import neardup
+
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and their likenesses."""
+    from tidemark.llm import fingerprints
+
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_substring_dedup": op2_substring_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_fingerprints": op8_fingerprints,
 }
 
 SQL: dict[str, str] = {}
