@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,28 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), 20)
 
 
+def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    from tidemark.llm import ann
+
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: counts and spans of the base formats, and all spans."""
+    from tidemark.llm import secrets
+
+    docs = _table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+    counts = [_count("base", i).alias(f"n_{k}") for i, k in enumerate(secrets.KINDS[:3])]
+    base = F.sha2(secrets.digest(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, secrets.digest(F.col("found")).alias("spans"), _count("found", 3).alias("n_markov"))
+
+
+def _count(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as pieces of at most 4096 tokens, each with its sequence and place."""
     from tidemark.llm import packing
@@ -41,6 +64,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), 4096)
 
 
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms of the same format."""
+    from tidemark.llm import pii
+
+    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near copies: five-word shingles, similarity 0.8 or more."""
     from tidemark.llm import neardup
@@ -55,12 +85,33 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share of a mix of the sources by weights 1, 2, 3, and where its copies go."""
+    from tidemark.llm import mixing
+
+    return mixing.mix_report(_table(spark, sf_dir, "documents"))
+
+
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licences, by its known licence sentences."""
+    from tidemark.llm import licences
+
+    found = licences.scan(_table(spark, sf_dir, "documents"))
+    lists = [F.array_join(c, ",").alias(c) for c in ("licences", "sentence_ids", "unmatched")]
+    return found.select("doc_id", *lists)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_ann_forest": op3_ann_forest,
+    "op4_secret_scan": op4_secret_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_fingerprints": op8_fingerprints,
+    "op9_mix_sources": op9_mix_sources,
+    "op10_licence_scan": op10_licence_scan,
 }
 
 SQL: dict[str, str] = {}
