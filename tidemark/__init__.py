@@ -1,0 +1 @@
+"""Time series and versioned key-value analytics on Spark DataFrames."""
