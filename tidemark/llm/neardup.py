@@ -36,7 +36,7 @@ SIZE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
 MARGIN = 0.13  # five standard errors of a signature's estimate at the threshold
-FIRST_TRIES = 4
+FIRST_TRIES, NEXT_TRIES = 8, 64
 MINOR_BLOCK = 256
 HOT_DEGREE = 500
 BROADCAST_NODES = 1_000_000
@@ -108,9 +108,9 @@ def signatures(element: np.ndarray, weight: np.ndarray, begin: np.ndarray, k: in
 
 
 def sketches(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc, same (binary, equal for equal word sequences), bands array<long>, brief (two bytes a coordinate).
+    """doc, tkey, same (binary, equal for equal word sequences), bands array<long>, brief (two bytes a coordinate).
 
-    ``docs`` has columns doc and text.
+    ``docs`` has columns doc, tkey and text.
     """
     k = bands * rows
 
@@ -125,11 +125,11 @@ def sketches(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int =
                 brief = _words.mixed(sig).astype("<u2")
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(a, b - a), pa.array(_sameness(w), pa.binary()), lists, pa.array([x.tobytes() for x in brief], pa.binary())],
-                    names=["doc", "same", "bands", "brief"],
+                    [batch.column("doc").slice(a, b - a), batch.column("tkey").slice(a, b - a), pa.array(_sameness(w), pa.binary()), lists, pa.array([x.tobytes() for x in brief], pa.binary())],
+                    names=["doc", "tkey", "same", "bands", "brief"],
                 )
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, same binary, bands array<long>, brief binary")
+    return docs.select("doc", "tkey", "text").mapInArrow(run, "doc long, tkey long, same binary, bands array<long>, brief binary")
 
 
 def _sameness(w: _words.Words) -> list[bytes]:
@@ -184,7 +184,8 @@ def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, threshold: flo
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     ends = texts.join(ends, "node", "left_semi")
     few = ends.count() <= BROADCAST_NODES
-    docs = docs.join(F.broadcast(ends.select("rep")) if few else ends.select("rep"), docs["doc"] == F.col("rep"), "left_semi")
+    reps = ends.select(F.col("rep.doc").alias("rep_doc"))
+    docs = docs.join(F.broadcast(reps) if few else reps, docs["doc"] == reps["rep_doc"], "left_semi")
     f = _common.written(features(docs, size).join(ends.select("same", "node"), "same").select("node", "shingles"), "shingles")
     left = f.join(hot.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("x"))
     joined = pairs.join(f.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").join(left, ["a", "part"])
@@ -204,16 +205,21 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes without an edge are left out. Each round is written, so a lost executor costs one round.
     """
     edges = _common.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    while True:
+    while not _all_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        done = _common.written(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
-        if not done.join(edges, ["u", "v"], "left_anti").limit(1).count() and done.count() == edges.count():
-            return done.select(F.col("u").alias("node"), F.col("v").alias("class"))
-        edges = done
+        edges = _common.written(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each edge leads from a node with no other edge upward to one that has none."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))).alias("e"))
+    odd = ends.groupBy("e.n").agg(F.sum("e.up").alias("up"), F.count("e.up").alias("all")).where("up > 1 or (up = 1 and all > 1)")
+    return not odd.limit(1).count()
 
 
 def _labelled(rows: DataFrame, classes: DataFrame, name: str = "node", label: str = "class") -> DataFrame:
@@ -250,37 +256,63 @@ def across(member: DataFrame, briefs: DataFrame, least: float) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of ``docs``: doc_id and class_id, the smallest doc_id of its class."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(sketch, texts): doc, tkey and same of every row; same, rep (doc, tkey), class and head (the first rep of its class) of every text."""
     base = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("doc"), _common.text_of(docs).alias("text"))
-    sketch = _common.written(sketches(base, size, bands, rows), "sketches")
-    texts = sketch.groupBy("same").agg(F.min("doc").alias("rep")).withColumn("node", F.monotonically_increasing_id())
+    sketch = _common.written(sketches(base.withColumn("tkey", F.xxhash64("text")), size, bands, rows), "sketches")
+    texts = sketch.groupBy("same").agg(F.min(F.struct("doc", "tkey")).alias("rep")).withColumn("node", F.monotonically_increasing_id())
     texts = _common.written(texts, "texts")  # fixes the node numbers
-    reps = sketch.join(texts, [sketch["same"] == texts["same"], sketch["doc"] == texts["rep"]])
-    reps = _common.written(reps.select("node", "bands", "brief"), "reps")
+    reps = sketch.join(texts, [sketch["same"] == texts["same"], sketch["doc"] == texts["rep.doc"]]).select("node", "bands", "brief")
+    reps = _common.written(reps, "reps")
     member = reps.select("node", F.explode("bands").alias("key"))
     bucket = member.groupBy("key").agg(F.count("node").alias("n"), F.min("node").alias("a")).where("n > 1").select("key", "a")
     crowd = _common.written(member.join(bucket, "key"), "buckets")
     tried = _common.written(crowd.where("node != a").select("a", F.col("node").alias("b")).distinct(), "stars")
-    links = _common.written(verified(tried, base, texts, threshold, size), "links")
-    classes = components(links)
+    found = components(verified(tried, base, texts, threshold, size))
 
-    labelled = _labelled(crowd.select("key", "node"), classes)
+    labelled = _labelled(crowd.select("key", "node"), found)
     several = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
     near = across(labelled.join(several, "key"), reps.select("node", "brief"), threshold - MARGIN)
-    near = _common.written(near.join(tried, ["a", "b"], "left_anti"), "open")
+    near = near.join(tried, ["a", "b"], "left_anti")
+    near = _labelled(_labelled(near, found, "a", "ca"), found, "b", "cb")
+    near = _common.written(near, "open")
     tries = FIRST_TRIES
     while near.limit(1).count():
+        # the best pairs of each two classes; a link makes the two one, and their other pairs need no look
         pair = Window.partitionBy("ca", "cb").orderBy(F.desc("agree"), "a", "b")
-        near = _labelled(_labelled(near, classes, "a", "ca"), classes, "b", "cb").where("ca != cb")
         near = near.select("a", "b", "agree", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
-        now = _common.written(near.withColumn("place", F.row_number().over(pair)).where(F.col("place") <= tries).select("a", "b"), "tried")
-        links = links.union(_common.written(verified(now, base, texts, threshold, size), "links"))
-        classes = components(links)
-        near = _common.written(near.select("a", "b", "agree").join(now, ["a", "b"], "left_anti"), "open")
-        tries *= 16
-
-    cls = _labelled(texts, classes)
-    cls = cls.join(cls.groupBy("class").agg(F.min("rep").alias("class_id")), "class")
-    out = sketch.select("doc", "same").join(cls.select("same", "class_id"), "same")
+        near = _common.written(near.withColumn("place", F.row_number().over(pair)), "ordered")
+        links = verified(near.where(F.col("place") <= tries).select("a", "b"), base, texts, threshold, size)
+        links = _labelled(_labelled(links, found, "a", "ca"), found, "b", "cb")
+        merged = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        found = _merged(found, merged)
+        near = near.where(F.col("place") > tries).drop("place")
+        near = _labelled(_labelled(near, merged, "ca", "ca2"), merged, "cb", "cb2").where("ca2 != cb2")
+        near = _common.written(near.select("a", "b", "agree", F.col("ca2").alias("ca"), F.col("cb2").alias("cb")), "open")
+        tries *= NEXT_TRIES
+    texts = _labelled(texts, found)
+    return sketch, texts.join(texts.groupBy("class").agg(F.min("rep").alias("head")), "class")
+
+
+def _merged(found: DataFrame, merged: DataFrame) -> DataFrame:
+    """Classes after ``merged`` (old class as node, new class) joined some of them."""
+    moved = _labelled(found.withColumnRenamed("class", "old"), merged, "old", "class").select("node", "class")
+    alone = merged.join(moved, "node", "left_anti")
+    return _common.written(moved.unionByName(alone.select("node", "class")), "classes")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per row of ``docs``: doc_id and class_id, the smallest doc_id of its class."""
+    sketch, texts = classes(docs, threshold, size, bands, rows)
+    out = sketch.select("doc", "same").join(texts.select("same", F.col("head.doc").alias("class_id")), "same")
     return out.select(*[F.when(F.col(c) != _LAST, F.col(c)).alias(n) for c, n in (("doc", "doc_id"), ("class_id", "class_id"))])
+
+
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest doc_id, and of equal ids the smallest text hash."""
+    _, texts = classes(docs, threshold, size, bands, rows)
+    heads = texts.select("head").distinct().select(F.col("head.doc").alias("__doc"), F.col("head.tkey").alias("__tkey"))
+    rows_ = docs.withColumn("__doc", F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST))).withColumn("__tkey", F.xxhash64(_common.text_of(docs)))
+    kept = rows_.join(heads, ["__doc", "__tkey"], "left_semi")
+    again = Window.partitionBy("__doc", "__tkey").orderBy("__doc")
+    return kept.withColumn("__again", F.row_number().over(again)).where("__again = 1").drop("__doc", "__tkey", "__again")
