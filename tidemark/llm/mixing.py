@@ -96,21 +96,27 @@ def _ranked(rows: DataFrame, order: Column, amount: Column) -> DataFrame:
     bin_ = rows.groupBy("source_no", "__bin").agg(F.count("*").alias("__n"), F.sum("__amount").alias("__sum"))
     past = Window.partitionBy("source_no").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     bin_ = bin_.select("source_no", "__bin", F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__sum").over(past), F.lit(0)).alias("__sum0"))
-    inside = Window.partitionBy("source_no", "__bin").orderBy("__order", "doc_id")
+    inside = Window.partitionBy("source_no", "__bin").orderBy("__order", "doc_id", "again")
     rows = rows.join(bin_, ["source_no", "__bin"])
     rows = rows.withColumn("rank", F.col("__n0") + F.row_number().over(inside) - 1)
     rows = rows.withColumn("before", F.col("__sum0") + F.coalesce(F.sum("__amount").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return rows.drop("__order", "__amount", "__bin", "__n0", "__sum0")
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = SEED, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` and text_key, size, source_no, source_rows, source_size, target, copies for each row of ``docs``.
+def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` with text_key and again: rows equal in doc_id and text are numbered, so three columns name a row."""
+    rows = docs.withColumn("text_key", F.xxhash64("text", F.lit(seed)))
+    same = Window.partitionBy("doc_id", "text_key").orderBy("source")
+    return rows.withColumn("again", F.row_number().over(same))
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = SEED) -> DataFrame:
+    """doc_id, text_key, again, size, source_no, source_rows, source_size, target, copies for each row of ``docs``.
 
     What is known of each source is a row on the driver; of the documents nothing is.
     """
-    if not {"doc_id"} <= set(keep):
-        raise ValueError("keep must name doc_id")
-    sized = docs.select(*keep, F.struct("source").alias("__source"), word_count(docs["text"]).alias("size"), F.xxhash64("text", F.lit(seed)).alias("text_key"))
+    sized = docs.select("doc_id", "source", word_count(docs["text"]).alias("size"), "text")
+    sized = _keyed(sized, seed).select("doc_id", "text_key", "again", F.struct("source").alias("__source"), "size")
     found = docs.groupBy("source").agg(F.sum(word_count(docs["text"])).alias("size"), F.count("*").alias("rows")).collect()
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     wanted = targets([r["size"] for r in found], [weights[i % len(weights)] for i in range(len(found))], most)
@@ -128,14 +134,13 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3
     rest = F.greatest(F.lit(0.0), F.when(whole < int(most), F.col("target") - whole * F.col("source_size")).otherwise(0.0))
     fits = (F.col("before") + F.col("size") <= rest + 1e-6) & (rest > 0)
     # the first documents that fit, and of the others the one that comes nearest to what is left
-    ids = _common.written(_ranked(rows.select("doc_id", "text_key", "size", "source_no", "source_rows", "source_size", "target"), order, F.col("size")), "ranked")
+    ids = _common.written(_ranked(rows.select("doc_id", "text_key", "again", "size", "source_no", "source_rows", "source_size", "target"), order, F.col("size")), "ranked")
     left = {r["source_no"]: r["left"] for r in ids.groupBy("source_no").agg(F.max(rest).alias("rest"), F.sum(F.when(fits, F.col("size")).otherwise(0)).alias("sum")).select("source_no", (F.col("rest") - F.col("sum")).alias("left")).collect()}
     short = _joined(ids.where(~fits), sorted(left.items()), "source_no int, left double")
     gap = F.abs(F.col("left") - F.col("size"))
     last = short.where(gap < F.col("left")).groupBy("source_no").agg(F.min(F.struct(gap.alias("gap"), "rank"))["rank"].alias("rank")).collect()
     lasts = {r["source_no"]: r["rank"] for r in last}
-    rows = ids if set(keep) == {"doc_id"} else _ranked(rows, order, F.col("size"))
-    rows = _joined(rows, [(n, lasts.get(n, -1)) for n in left], "source_no int, last long")
+    rows = _joined(ids, [(n, lasts.get(n, -1)) for n in left], "source_no int, last long")
     more = fits | (F.col("rank") == F.col("last"))
     return rows.withColumn("copies", (whole + more.cast("int")).cast("int")).drop("rank", "before", "last")
 
@@ -164,17 +169,29 @@ def dealt(rows: DataFrame, blocks_per_shard: int = BLOCKS_PER_SHARD, seed: int =
     ranked = _joined(_ranked(blocks, F.xxhash64("doc_id", "text_key", "copy", F.lit(seed + 1)), F.lit(0)), stretch, "source_no int, per long")
     ranked = ranked.withColumn("stretch", F.floor(F.col("rank") / F.col("per"))).drop("per", "before")
     placed = ranked.join(parts, ["source_no", "stretch"]).where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    inside = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "text_key", "copy", F.lit(seed + 2)), "doc_id", "copy")
+    inside = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "text_key", "copy", F.lit(seed + 2)), "doc_id", "again", "copy")
     return placed.withColumn("place", F.row_number().over(inside) - 1).drop("rank", "low", "high", "stretch")
 
 
 def mix_report(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, and places: array<struct<shard, place>> of the copies.
-
-    Rows equal in doc_id and text share one list of places.
-    """
+    """doc_id, size, source_size, target, taken, copies, and places: array<struct<shard, place>> of the copies."""
     rows = _common.written(mixed(docs, weights, most, seed), "mixed")
-    places = dealt(rows, seed=seed).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.array_sort(F.collect_list(F.struct("shard", "place"))).alias("places"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
+    key = [F.col(c).alias(f"__{c}") for c in ("doc_id", "text_key", "again")]
+    places = dealt(rows, seed=seed).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("shard", "place"))).alias("places"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
-    return rows.join(places, same, "left").select("doc_id", "size", "source_size", "target", taken, "copies", "places")
+    return rows.join(places, _same_row(), "left").select("doc_id", "size", "source_size", "target", taken, "copies", "places")
+
+
+def _same_row() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("text_key") == F.col("__text_key")) & (F.col("again") == F.col("__again"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, by output shard and place in it.
+
+    The texts move twice: to their blocks, and with them to the shards.
+    """
+    blocks = dealt(_common.written(mixed(docs, weights, most, seed), "mixed"), seed=seed)
+    blocks = blocks.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "text_key", "again", "shard", "place")])
+    rows = _keyed(docs, seed).join(blocks, _same_row())
+    return rows.repartition(F.col("__shard")).sortWithinPartitions("__shard", "__place").select(*docs.columns)

@@ -140,12 +140,13 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of the labelled documents that are not held out."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = hashed = docs.select("doc_id", "text").join(known, "doc_id")
-    rows, chars = known.agg(F.count("*"), F.sum(F.length("text"))).first()
+    few = F.broadcast(_common.hash_sample(known, F.col("doc_id"), SAMPLE_ROWS))  # bounded rows of two numbers
+    hashed = docs.select("doc_id", "text").join(few, "doc_id")
+    rows, chars = hashed.agg(F.count("*"), F.sum(F.length("text"))).first()
     if not rows:
         return fit([], np.zeros(0))
-    most = min(SAMPLE_ROWS, int(rows * SAMPLE_CHARS / max(1, chars or 0)))
-    hashed = _common.hash_sample(known, F.col("doc_id"), max(1, most)) if rows > most else known
+    if (chars or 0) > SAMPLE_CHARS:
+        hashed = _common.hash_sample(hashed, F.xxhash64("doc_id", F.lit(7)), max(1, int(rows * SAMPLE_CHARS / chars)))
     got = hashed.select(_common.text_of(hashed).alias("text"), "toxic").orderBy(F.xxhash64("text")).toPandas()
     return fit(got["text"].tolist(), (got["toxic"] > 0).to_numpy())
 
