@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _HASH, _TIME, _VARIANT = (1 << 20) - 1, (1 << 40) - 1, 15
 
@@ -61,7 +62,7 @@ def crc32(data: Column) -> Column:
     return F.crc32(data)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def xxh64(data: pd.Series) -> pd.Series:
     """xxHash64 with seed 0 as a signed long; Spark's own xxhash64 has another seed."""
     import xxhash

@@ -11,13 +11,14 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.sources.tables import COMPRESSED, RAW, TOMBSTONE
 
 MIN_COMPRESS_LEN, MIN_SAVING = 200, 16
 
 
-@F.pandas_udf("struct<kind:int,payload:binary>")
+@F.pandas_udf(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("payload", T.BinaryType())]))
 def encoded(value: pd.Series) -> pd.DataFrame:
     """zlib, if the value is long enough and gets so much smaller; raw otherwise."""
     kinds, out = [], []
@@ -29,7 +30,7 @@ def encoded(value: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"kind": kinds, "payload": out})
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def decoded(kind: pd.Series, payload: pd.Series) -> pd.Series:
     return pd.Series([zlib.decompress(p) if k == COMPRESSED and p is not None else p for k, p in zip(kind, payload, strict=True)])
 

@@ -17,6 +17,7 @@ from tidemark.functions import encodings
 MAX_DEGREE, POLY_ERROR = 9, 1e-3
 MAX_HARMONICS, ENERGY = 20, 0.99
 MIN_RATIO = 2.0
+MAX_WAVE_ERROR = 0.1  # of the variance; worse waves give way to the raw samples
 
 _SEGMENT = f"series string, segment_id long, start_time long, end_time long, point_count long, original_size long, model {encodings.MODEL}, residual array<float>"
 
@@ -65,14 +66,15 @@ def _candidates(v: np.ndarray) -> list[dict]:
         comps = [{"f": float(k), "a": float(amp[k]), "p": float(phase[k])} for k in few]
         error = float(((fit - v) ** 2).mean() / var)
         dc = float(amp[0] * np.cos(phase[0]))
-        out.append({"kind": "fourier", "comps": comps, "dc": dc, "size": 12 * len(comps) + 16, "error": error})
+        if error < MAX_WAVE_ERROR:
+            out.append({"kind": "fourier", "comps": comps, "dc": dc, "size": 12 * len(comps) + 16, "error": error})
         if n >= 8 and len(power):
             k = int(order[0]) + 1
             # x runs to 1 at the last sample, so a frequency of k per n samples is k (n - 1) / n per segment
             sine = {"f": k * (n - 1) / n, "a": float(amp[k]), "p": float(phase[k] + np.pi / 2)}
             one = dc + sine["a"] * np.sin(2 * np.pi * sine["f"] * x + sine["p"])
             rel = float(((one - v) ** 2).mean() / var)
-            if rel < 0.1:
+            if rel < MAX_WAVE_ERROR:
                 out.append({"kind": "sine", "comps": [sine], "dc": dc, "size": 16, "error": rel})
     return out
 
