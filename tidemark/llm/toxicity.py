@@ -51,9 +51,20 @@ class Bag:
     text: np.ndarray  # text of each sentence
     start: np.ndarray  # first byte of each sentence's first token
     end: np.ndarray
+    kind: np.ndarray  # hash of each kind
     features: np.ndarray  # kinds x features
     texts: int
 
+    @classmethod
+    def joined(cls, parts: list[Bag]) -> Bag:
+        """One bag of several, in order."""
+        code, kind = pd.factorize(np.concatenate([p.kind for p in parts]))
+        k, s, t = (np.cumsum([0, *n]) for n in zip(*[(len(p.kind), len(p.text), p.texts) for p in parts], strict=True))
+        first = np.zeros(len(kind), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        shifted = lambda name, by: np.concatenate([getattr(p, name) + d for p, d in zip(parts, by, strict=False)])
+        return cls(code[shifted("token", k)], shifted("sentence", s), shifted("text", t), shifted("start", 0 * k), shifted("end", 0 * k), kind, np.concatenate([p.features for p in parts])[first], int(t[-1]))
+
 
 def bag(data: np.ndarray, offsets: np.ndarray) -> Bag:
     w = _words.words(data, offsets, _SPACE)
@@ -72,7 +83,7 @@ def bag(data: np.ndarray, offsets: np.ndarray) -> Bag:
     new[1:] = (text[1:] != text[:-1]) | (before[1:] != before[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(text)) - 1 if len(first) else first
-    return Bag(number, np.cumsum(new) - 1, text[first], w.start[first], w.end[last], features, len(offsets) - 1)
+    return Bag(number, np.cumsum(new) - 1, text[first], w.start[first], w.end[last], np.asarray(kinds, U), features, len(offsets) - 1)
 
 
 def _chance(z: np.ndarray) -> np.ndarray:
@@ -98,10 +109,14 @@ class Model:
 def _telling(b: Bag, y: np.ndarray, least: float = 4.0, documents: int = 3) -> np.ndarray:
     """Features of at least so many documents whose share of toxic ones is so many standard errors off."""
     size = 1 << FEATURE_BITS
-    text = b.text[b.sentence]
-    pair = pd.unique(np.repeat(text, b.features.shape[1]) * size + b.features[b.token].ravel())
-    n = np.bincount(pair % size, minlength=size)
-    bad = np.bincount(pair % size, y[pair // size], size)
+    here = pd.unique(b.text[b.sentence] * len(b.features) + b.token)
+    text, kind = np.divmod(here, max(1, len(b.features)))
+    n, bad = np.zeros(size), np.zeros(size)
+    for i, column in enumerate(b.features.T):
+        own = column[kind] != b.features[kind, 0] if i else slice(None)  # short words have one feature only
+        pair = pd.unique(text[own] * size + column[kind][own])
+        n += np.bincount(pair % size, minlength=size)
+        bad += np.bincount(pair % size, y[pair // size], size)
     share = y.mean()
     return (n >= documents) & (np.abs(bad - n * share) >= least * np.sqrt(np.maximum(n, 1) * share * (1 - share)))
 
@@ -111,9 +126,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, rate: float
     model = Model(np.zeros(1 << FEATURE_BITS), -7.0)
     if not len(texts) or not 0 < labels.mean() < 1:
         return Model(model.weights, -np.inf)
-    raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    b = bag(data, np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    b = Bag.joined([bag(data, offsets) for _, _, data, offsets in _words.slices(pa.array(texts))])
     y = labels.astype(float)
     used = _telling(b, y)
     m = v = np.zeros(len(model.weights) + 1)
