@@ -199,7 +199,7 @@ def base_spans(t):
 def test_secrets(spark):
     rng = random.Random(1)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    plain = ["the", "connection", "internationalisation", "get_user_by_identifier_name", "configuration-value-of-the-table", "größe", "😀"]
+    plain = ["the", "connection", "internationalisation", "get_user_by_identifier_name", "configuration-value-of-the-table", "HttpRequestHandlerFactoryBean", "XMLQUERY2Adapter", "größe", "😀"]
     rows = []
     for i in range(300):
         t = " ".join(rng.choice(plain) for _ in range(40))
