@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return fit([], np.zeros(0))
     if (chars or 0) > SAMPLE_CHARS:
         hashed = _common.hash_sample(hashed, F.xxhash64("doc_id", F.lit(7)), max(1, int(rows * SAMPLE_CHARS / chars)))
-    got = hashed.select(_common.text_of(hashed).alias("text"), "toxic").orderBy(F.xxhash64("text")).toPandas()
+    got = hashed.select(_common.text_of(hashed).alias("text"), "toxic").toPandas().sort_values(["text", "toxic"])
     return fit(got["text"].tolist(), (got["toxic"] > 0).to_numpy())
 
 
