@@ -66,7 +66,7 @@ def _throw(element: np.ndarray, weight: np.ndarray, row: np.ndarray, low: np.nda
     """
     units = np.ceil(weight).astype(np.int64)
     unit = np.arange(int(units.sum())) - np.repeat(np.cumsum(units) - units, units)
-    element, row, weight = np.repeat(element, units), np.repeat(row, units), np.repeat(weight, units)
+    element, row, weight = np.repeat(_words.mixed(element, 13), units), np.repeat(row, units), np.repeat(weight, units)
     cell = _words.mixed(element + unit.astype(U) * U(0x9E3779B97F4A7C15), 17)
     span = np.ceil(high).astype(np.int64) - np.floor(low).astype(np.int64)
     n = span[row]
