@@ -65,7 +65,7 @@ def test_repeats_odd(odd, none):
     got = substrings.remove_repeats(odd, with_text=True).collect()
     assert len(got) == 10 and substrings.remove_repeats(none).count() == 0
     by = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in got)
-    assert by[(1, 6, 0)] == 2 and by[(5, 60000, 59003 - 19 + 19)] + by[(5, 60000, 60000 - 997 - 19)] + by[(5, 60000, 60000 - 997)] >= 1
+    assert by[(1, 6, 0)] == 2 and by[(5, 60000, 59003)] == 1
     assert [r.n_words - r.n_removed for r in got if r.doc_id == 6] == [1]
 
 

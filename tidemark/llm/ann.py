@@ -207,6 +207,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_i
     keys = ["leaf", "chunk", "block"]
     found = asked.groupBy(*keys).cogroup(rows_.groupBy(*keys)).applyInArrow(rerank, "q long, ids array<long>, score double")
     best = found.groupBy("q", F.col("ids")[0].alias("c")).agg(F.first("ids").alias("ids"), F.max("score").alias("score"))
+    # a class of equal vectors behind k + 1 others has no id among the nearest k
+    ahead = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    best = best.withColumn("n", F.row_number().over(ahead)).where(F.col("n") <= k + 1)
     wide = best.select("q", "score", F.explode("ids").alias("vec_id")).groupBy("q", "vec_id").agg(F.max("score").alias("score"))
     near_q = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = wide.withColumn("n", F.row_number().over(near_q)).where(F.col("n") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
