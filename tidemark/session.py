@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +17,17 @@ def session(name: str = "tidemark", **settings: str) -> SparkSession:
     for k, v in (fixed | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, unless their Python finds it by PYTHONPATH or the working folder."""
+    root = Path(__file__).resolve().parent.parent
+    known = [Path(p).resolve() for p in (*os.environ.get("PYTHONPATH", "").split(os.pathsep), ".") if p]
+    app = spark.sparkContext.applicationId
+    if root not in known and app not in _shipped:
+        _shipped.add(app)
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/tidemark", "zip", root, "tidemark")
+        spark.sparkContext.addPyFile(archive)
