@@ -10,7 +10,7 @@ Signatures are cut into bands; documents that share a band are candidates.
 Documents of equal word sequence are one representative from the start. Each band bucket links
 its members to the first of them; every such pair is verified on the exact
 shingles, and verified pairs give classes. Buckets that still hold several classes then compare
-members across these classes by their signatures, best pairs first, until no unverified pair
+members across these classes by longer signatures, best pairs first, until no unverified pair
 across classes is close enough to reach the threshold. So no link between different texts is lost
 but those whose bands all differ (probability under 1e-5 at the threshold), and groups of near
 copies cost a few pairs for each member, not one for each two members.
@@ -35,7 +35,8 @@ U = _words.U
 SIZE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
-MARGIN = 0.13  # five standard errors of a signature's estimate at the threshold
+PRECISE = 1024  # coordinates of the signatures that are compared within buckets
+MARGIN = 0.0625  # five standard errors of their estimate at the threshold
 FIRST_TRIES, NEXT_TRIES = 8, 64
 MINOR_BLOCK = 256
 HOT_DEGREE = 500
@@ -108,7 +109,7 @@ def signatures(element: np.ndarray, weight: np.ndarray, begin: np.ndarray, k: in
 
 
 def sketches(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc, tkey, same (binary, equal for equal word sequences), bands array<long>, brief (two bytes a coordinate).
+    """doc, tkey, same (binary, equal for equal word sequences), bands array<long>.
 
     ``docs`` has columns doc, tkey and text.
     """
@@ -122,14 +123,13 @@ def sketches(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int =
                 band = np.tile(np.arange(bands, dtype=U), (b - a, 1))
                 for j in range(rows):
                     band = _words.mixed(band + sig[:, j::rows], j)
-                brief = _words.mixed(sig).astype("<u2")
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(a, b - a), batch.column("tkey").slice(a, b - a), pa.array(_sameness(w), pa.binary()), lists, pa.array([x.tobytes() for x in brief], pa.binary())],
-                    names=["doc", "tkey", "same", "bands", "brief"],
+                    [batch.column("doc").slice(a, b - a), batch.column("tkey").slice(a, b - a), pa.array(_sameness(w), pa.binary()), lists],
+                    names=["doc", "tkey", "same", "bands"],
                 )
 
-    return docs.select("doc", "tkey", "text").mapInArrow(run, "doc long, tkey long, same binary, bands array<long>, brief binary")
+    return docs.select("doc", "tkey", "text").mapInArrow(run, "doc long, tkey long, same binary, bands array<long>")
 
 
 def _sameness(w: _words.Words) -> list[bytes]:
@@ -138,6 +138,27 @@ def _sameness(w: _words.Words) -> list[bytes]:
     return [x.tobytes() for x in np.stack(parts, 1)]
 
 
+def precise(docs: DataFrame, size: int = SIZE, k: int = PRECISE) -> DataFrame:
+    """same and a byte of each coordinate of a longer signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in _words.slices(batch.column("text")):
+                w = _words.words(data, offsets)
+                low = _words.mixed(signatures(*weighted_shingles(w, size), k)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array(_sameness(w), pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())], names=["same", "brief"])
+
+    return docs.select("text").mapInArrow(run, "same binary, brief binary")
+
+
+def _chosen(docs: DataFrame, texts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents that stand for ``nodes``, and (same, node) of these."""
+    ends = texts.join(nodes, "node", "left_semi")
+    few = ends.count() <= BROADCAST_NODES
+    reps = ends.select(F.col("rep.doc").alias("rep_doc"))
+    return docs.join(F.broadcast(reps) if few else reps, docs["doc"] == reps["rep_doc"], "left_semi"), ends.select("same", "node")
+
+
 def features(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """same and the weighted shingles as bytes: hashes in rising order, then their counts."""
 
@@ -182,11 +203,8 @@ def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, threshold: flo
     hot = pairs.groupBy("a").agg(F.least(F.ceil(F.count("b") / HOT_DEGREE), F.lit(256)).cast("int").alias("parts"))
     pairs = pairs.join(hot, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = texts.join(ends, "node", "left_semi")
-    few = ends.count() <= BROADCAST_NODES
-    reps = ends.select(F.col("rep.doc").alias("rep_doc"))
-    docs = docs.join(F.broadcast(reps) if few else reps, docs["doc"] == reps["rep_doc"], "left_semi")
-    f = _common.written(features(docs, size).join(ends.select("same", "node"), "same").select("node", "shingles"), "shingles")
+    docs, ends = _chosen(docs, texts, ends)
+    f = _common.written(features(docs, size).join(ends, "same").select("node", "shingles"), "shingles")
     left = f.join(hot.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("x"))
     joined = pairs.join(f.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").join(left, ["a", "part"])
 
@@ -240,12 +258,12 @@ def across(member: DataFrame, briefs: DataFrame, least: float) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         block = group.column("block")[0].as_py()
-        sig = np.stack([np.frombuffer(x.as_py(), "<u2") for x in group.column("brief")])
+        sig = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in group.column("brief")])
         node, cls = group.column("node").to_numpy(), group.column("class").to_numpy()
         own = group.column("own").fill_null(-1).to_numpy()
         a, b, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for i in np.flatnonzero(own == block):
-            agree = (sig == sig[i]).mean(1)
+            agree = ((sig == sig[i]).mean(1) * 256 - 1) / 255  # bytes agree by chance once in 256
             ok = np.flatnonzero((agree >= least) & (cls != cls[i]))
             a.append(np.minimum(node[ok], node[i]))
             b.append(np.maximum(node[ok], node[i]))
@@ -262,7 +280,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, ban
     sketch = _common.written(sketches(base.withColumn("tkey", F.xxhash64("text")), size, bands, rows), "sketches")
     texts = sketch.groupBy("same").agg(F.min(F.struct("doc", "tkey")).alias("rep")).withColumn("node", F.monotonically_increasing_id())
     texts = _common.written(texts, "texts")  # fixes the node numbers
-    reps = sketch.join(texts, [sketch["same"] == texts["same"], sketch["doc"] == texts["rep.doc"]]).select("node", "bands", "brief")
+    reps = sketch.join(texts, [sketch["same"] == texts["same"], sketch["doc"] == texts["rep.doc"]]).select("node", "bands")
     reps = _common.written(reps, "reps")
     member = reps.select("node", F.explode("bands").alias("key"))
     bucket = member.groupBy("key").agg(F.count("node").alias("n"), F.min("node").alias("a")).where("n > 1").select("key", "a")
@@ -272,7 +290,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, ban
 
     labelled = _labelled(crowd.select("key", "node"), found)
     several = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
-    near = across(labelled.join(several, "key"), reps.select("node", "brief"), threshold - MARGIN)
+    mixed = _common.written(labelled.join(several, "key").select("key", "node", "class"), "mixed")
+    some, ends = _chosen(base, texts, mixed.select("node").distinct())
+    briefs = _common.written(precise(some, size).join(ends, "same").select("node", "brief"), "precise")
+    near = across(mixed, briefs, threshold - MARGIN)
     near = near.join(tried, ["a", "b"], "left_anti")
     near = _labelled(_labelled(near, found, "a", "ca"), found, "b", "cb")
     near = _common.written(near, "open")
