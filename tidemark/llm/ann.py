@@ -126,6 +126,23 @@ def _stacked(column: pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+def _bars(x: np.ndarray, opened: list[np.ndarray], sample: np.ndarray, leaf: np.ndarray, n: int) -> np.ndarray:
+    """For each query a score that its n-th best candidate reaches: the n-th best of the sampled rows in its opened leaves.
+
+    What is below cannot be among the n best, so it need not leave the leaf's task.
+    """
+    out = np.full(len(x), -np.inf)
+    scores = x @ sample.T
+    for i, o in enumerate(opened):
+        inside = np.zeros(int(leaf.max()) + 1 if len(leaf) else 0, bool)
+        inside[o[o < len(inside)]] = True
+        s = scores[i, inside[leaf].any(1)]
+        if len(s) >= n:
+            best = np.partition(s, len(s) - n)[len(s) - n]
+            out[i] = best - 1e-9 * max(1.0, abs(best))
+    return out
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaf_rows: int = LEAF_ROWS, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of largest inner product for each row where ``is_query`` (of column id) holds."""
     spark = vectors.sparkSession
@@ -142,8 +159,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_i
     sample = _common.hash_sample(classes, F.col("ids")[0], FIT_ROWS).select("v").toArrow()
     sample = _stacked(sample.column("v"))
     depth = max(0, min(int(np.log2(max(1, count / leaf_rows))), int(np.log2(max(1, len(sample) / LEAST_SAMPLE)))))
-    forest = spark.sparkContext.broadcast(grow(sample, length * (1 + 1e-9), depth, trees))
+    grown = grow(sample, length * (1 + 1e-9), depth, trees)
     leaves = 2**depth
+    forest = spark.sparkContext.broadcast(grown)
+    fitted = spark.sparkContext.broadcast((sample, grown.leaves(sample) + np.arange(trees) * leaves))  # FIT_ROWS rows
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,15 +186,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_i
         for b in batches:
             for a in range(0, len(b), 256):
                 part = b.slice(a, 256)
-                opened = list(forest.value.opened(_stacked(part.column("v")), size, share))
+                x = _stacked(part.column("v"))
+                opened = list(forest.value.opened(x, size, share))
                 n = [len(o) for o in opened]
+                bar = _bars(x, opened, *fitted.value, k + 1)
                 row, leaf = np.repeat(np.arange(len(part)), n), np.concatenate(opened)
                 times = chunk[leaf]
                 row, leaf = np.repeat(row, times), np.repeat(leaf, times)
                 piece = np.arange(len(leaf)) - np.repeat(np.cumsum(times) - times, times)
-                yield pa.RecordBatch.from_arrays([part.column("q").take(pa.array(row)), part.column("v").take(pa.array(row)), pa.array(leaf.astype(np.int32)), pa.array(piece.astype(np.int32))], names=["q", "v", "leaf", "chunk"])
+                yield pa.RecordBatch.from_arrays([part.column("q").take(pa.array(row)), part.column("v").take(pa.array(row)), pa.array(leaf.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(bar[row])], names=["q", "v", "leaf", "chunk", "bar"])
 
-    asked = ask.select("q", "v").mapInArrow(probe, "q long, v array<double>, leaf int, chunk int").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
+    asked = ask.select("q", "v").mapInArrow(probe, "q long, v array<double>, leaf int, chunk int, bar double").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
 
     rows_ = indexed.select("c", "v", "ids", F.explode("leaf").alias("leaf"))
     rows_ = rows_.withColumn("chunk", F.pmod(F.xxhash64("c"), F.element_at(F.lit(chunks.tolist()), F.col("leaf") + 1)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -186,6 +207,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_i
             x, q = _stacked(right.column("v")), left.column("q").to_numpy()
             c, ids = right.column("c").to_numpy(), right.column("ids").combine_chunks()
             first = np.array([i[0].as_py() for i in ids], np.int64)
+            least = left.column("bar").to_numpy()
             for a in range(0, len(left), 256):
                 score = _stacked(left.column("v").slice(a, 256)) @ x.T
                 n = min(k + 1, score.shape[1])
@@ -194,7 +216,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_i
                 order = np.lexsort((first[j], -score[r, j], r))
                 r, j = r[order], j[order]
                 begin = np.searchsorted(r, np.arange(score.shape[0]))
-                near = np.arange(len(r)) - begin[r] < n
+                near = (np.arange(len(r)) - begin[r] < n) & (score[r, j] >= least[a + r])
                 r, j = r[near], j[near]
                 out["q"].append(q[a + r])
                 out["c"].append(c[j])
