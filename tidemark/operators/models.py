@@ -129,7 +129,7 @@ def regenerated(segments: DataFrame) -> DataFrame:
     rows = segments.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     x = F.when(n > 1, F.col("i") / (n - 1)).otherwise(F.lit(0.0))
     v = encodings.value_at(F.col("model"), x) + F.coalesce(F.element_at("residual", (F.col("i") + 1).cast("int")), F.lit(0.0))
-    t = (F.col("start_time") + x * (F.col("end_time") - F.col("start_time"))).cast("long")
+    t = F.expr("start_time + (i * (end_time - start_time)) div greatest(point_count - 1, 1L)")  # whole numbers: no grid time slips by one
     return rows.select("series", "segment_id", "i", t.alias("t"), v.alias("v"))
 
 
