@@ -312,6 +312,14 @@ def test_mixing(docs, rows, spark):
     assert again == {r.doc_id: r.copies for r in got}
 
 
+@pytest.mark.parametrize("seed", [20, 21, 22, 23])
+def test_mixing_past_a_long_document(spark, seed):
+    """Half of the words of a source in one document: the target, 40,000 of 100,000, is met without it."""
+    made = [(i, "w " * 5000, "a") for i in range(10)] + [(10, "w " * 50_000, "a"), (11, "w " * 80_000, "b"), (12, "w " * 20_000, "b")]
+    got = mixing.mix_report(frame(spark, made), weights=(2, 8), seed=seed).collect()
+    assert sum(r.taken for r in got if r.doc_id <= 10) == 40_000
+
+
 def test_mixing_odd(odd, none):
     assert mixing.mix_report(odd).count() == 10 and mixing.mix_report(none).count() == 0
 

@@ -3,7 +3,8 @@
 Each source gets a share of the total size by its weight, no more than ``most`` times its own
 size; what is over is dealt out again by weight. A source is taken as often in whole as its target
 allows, and the rest is drawn from its documents in a keyed random order until the
-next document would pass it; one more document, whose size is nearest to what is left, closes
+next document would pass it; documents that do not fit are passed over and the draw goes on in
+rounds until none fits; one more document, whose size is nearest to what is left, closes
 the gap. The draws (document, copy) are the source's blocks.
 
 Output shards are dealt by a binary tree: a node with n blocks in all, of which some of each
@@ -110,6 +111,40 @@ def _keyed(docs: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("again", F.row_number().over(same))
 
 
+_LEFT = "left double, picked array<long>"
+
+
+def _filled(ids: DataFrame, left: dict[int, float], order: Column) -> tuple[DataFrame, dict[int, float], dict[int, list[int]]]:
+    """Go on drawing past the documents that did not fit, until no other fits what is ``left`` of its source.
+
+    If the largest document that fits is more than half of what is left, it is picked (by rank);
+    else the draw is repeated over those that fit, and ends short of one of them. Either way a round
+    leaves less than half, so their number is at most the logarithm of the words.
+    """
+    picked: dict[int, list[int]] = {n: [] for n in left}
+    fitting = F.expr("not taken and size > 0 and size <= left + 1e-6 and not array_contains(picked, rank)")
+    while True:
+        state = [(n, left[n], picked[n]) for n in sorted(left)]
+        largest = F.max(F.struct("size", (-F.col("rank")).alias("rank"))).alias("top")
+        found = _joined(ids, state, f"source_no int, {_LEFT}").where(fitting).groupBy("source_no").agg(largest).collect()
+        if not found:
+            return ids, left, picked
+        far = {r["source_no"] for r in found if 2 * r["top"]["size"] <= left[r["source_no"]]}
+        if far:
+            state = [(n, left[n] if n in far else -1.0, picked[n]) for n in sorted(left)]
+            rows = _joined(ids.drop("before"), state, f"source_no int, {_LEFT}").withColumn("fitting", fitting).drop("rank", "picked")
+            rows = _ranked(rows, order, F.when(F.col("fitting"), F.col("size")).otherwise(0))
+            rows = rows.withColumn("new", F.col("fitting") & (F.col("before") + F.col("size") <= F.col("left") + 1e-6))
+            rows = _common.written(rows.withColumn("taken", F.col("taken") | F.col("new")).drop("left", "fitting"), "ranked")
+            for r in rows.where("new").groupBy("source_no").agg(F.sum("size").alias("sum")).collect():
+                left[r["source_no"]] -= r["sum"]
+            ids = rows.drop("new")
+        for r in found:
+            if r["source_no"] not in far:
+                picked[r["source_no"]].append(-r["top"]["rank"])
+                left[r["source_no"]] -= r["top"]["size"]
+
+
 def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = SEED) -> DataFrame:
     """doc_id, text_key, again, size, source_no, source_rows, source_size, target, copies for each row of ``docs``.
 
@@ -133,16 +168,19 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") + 1e-12), F.lit(int(most)))).otherwise(0)
     rest = F.greatest(F.lit(0.0), F.when(whole < int(most), F.col("target") - whole * F.col("source_size")).otherwise(0.0))
     fits = (F.col("before") + F.col("size") <= rest + 1e-6) & (rest > 0)
-    # the first documents that fit, and of the others the one that comes nearest to what is left
-    ids = _common.written(_ranked(rows.select("doc_id", "text_key", "again", "size", "source_no", "source_rows", "source_size", "target"), order, F.col("size")), "ranked")
-    left = {r["source_no"]: r["left"] for r in ids.groupBy("source_no").agg(F.max(rest).alias("rest"), F.sum(F.when(fits, F.col("size")).otherwise(0)).alias("sum")).select("source_no", (F.col("rest") - F.col("sum")).alias("left")).collect()}
-    short = _joined(ids.where(~fits), sorted(left.items()), "source_no int, left double")
+    # documents larger than the whole rest can never fit and do not count for the others
+    ids = _ranked(rows.select("doc_id", "text_key", "again", "size", "source_no", "source_rows", "source_size", "target"), order, F.when(F.col("size") <= rest + 1e-6, F.col("size")).otherwise(0))
+    ids = _common.written(ids.withColumn("taken", fits), "ranked")
+    left = {r["source_no"]: r["left"] for r in ids.groupBy("source_no").agg(F.max(rest).alias("rest"), F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("sum")).select("source_no", (F.col("rest") - F.col("sum")).alias("left")).collect()}
+    ids, left, picked = _filled(ids, left, order)
+    short = _joined(ids, [(n, left[n], picked[n]) for n in sorted(left)], f"source_no int, {_LEFT}").where("not taken and not array_contains(picked, rank)")
     gap = F.abs(F.col("left") - F.col("size"))
     last = short.where(gap < F.col("left")).groupBy("source_no").agg(F.min(F.struct(gap.alias("gap"), "rank"))["rank"].alias("rank")).collect()
-    lasts = {r["source_no"]: r["rank"] for r in last}
-    rows = _joined(ids, [(n, lasts.get(n, -1)) for n in left], "source_no int, last long")
-    more = fits | (F.col("rank") == F.col("last"))
-    return rows.withColumn("copies", (whole + more.cast("int")).cast("int")).drop("rank", "before", "last")
+    for r in last:
+        picked[r["source_no"]].append(r["rank"])
+    rows = _joined(ids, [(n, picked[n]) for n in sorted(left)], "source_no int, picked array<long>")
+    more = F.col("taken") | F.array_contains("picked", F.col("rank"))
+    return rows.withColumn("copies", (whole + more.cast("int")).cast("int")).drop("rank", "before", "taken", "picked")
 
 
 def dealt(rows: DataFrame, blocks_per_shard: int = BLOCKS_PER_SHARD, seed: int = SEED) -> DataFrame:
