@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import keys
 from tidemark.operators import compaction, intervals, keyvalue, models, versions
+from tidemark.plans import stores
 
 
 def log(spark, rows):
@@ -75,6 +76,16 @@ def test_deadlock(spark):
     assert sorted(r.txn_id for r in versions.deadlocked(e).collect()) == [1, 2, 3, 4]
 
 
+def test_replay_covers_the_committed_log(spark, tmp_path):
+    """Entries far beyond index 1000 are applied, those past the majority's index are not."""
+    at = [1, 1000, 4000, 5002, 9001]
+    orders = [(k, f"{i}-P") for i, k in enumerate(at)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, k % 2, float(k)) for k in at], "l_orderkey long, l_partkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = stores.QUERIES["raft_log_replay_committed"](spark, str(tmp_path)).collect()
+    assert {r.t: r.v for r in got} == {0: 4000.0, 1: 1.0}
+
+
 def test_keys(spark):
     one = spark.range(1)
     code = lambda *p: one.select(keys.morton(*[F.lit(x) for x in p])).first()[0]

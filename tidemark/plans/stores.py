@@ -186,13 +186,18 @@ def _transactions() -> None:
     _add("lock_wait_for", lambda s, d: versions.waits(locks(s, d)), f"WITH {lock} SELECT waiter, holder FROM e")
     _add("raft_commit_index", raft_commit, "WITH g AS (SELECT o_orderpriority AS node, max(o_orderkey) AS m FROM orders GROUP BY 1), h AS (SELECT m FROM g ORDER BY m DESC LIMIT 1 OFFSET 2) SELECT coalesce(max(o_orderkey), 0) AS commit_index FROM orders, h WHERE o_orderkey <= m AND o_orderkey % 3 = 1")
 
-    def replay(s: SparkSession, d: str) -> DataFrame:
+    def entries(s: SparkSession, d: str) -> DataFrame:
         li = tables.table(s, d, "lineitem")
         log = li.groupBy(F.col("l_orderkey").alias("index")).agg(F.collect_list(F.struct(F.col("l_partkey").alias("t"), F.col("l_extendedprice").alias("v"))).alias("points"))
-        log = log.withColumn("points", F.transform("points", lambda p: F.struct(p["t"].alias("t"), F.array_max(F.transform(F.filter("points", lambda q: q["t"] == p["t"]), lambda q: q["v"])).alias("v"))))
-        return versions.replayed(log, 1000)
+        return log.withColumn("points", F.transform("points", lambda p: F.struct(p["t"].alias("t"), F.array_max(F.transform(F.filter("points", lambda q: q["t"] == p["t"]), lambda q: q["v"])).alias("v"))))
 
-    _add("raft_log_replay", replay, "SELECT t, v FROM (SELECT l_partkey AS t, l_orderkey, max(l_extendedprice) AS v, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC) AS n FROM lineitem WHERE l_orderkey <= 1000 GROUP BY 1, 2) WHERE n = 1")
+    def committed(s: SparkSession, d: str) -> DataFrame:
+        """Every entry up to the index that a majority holds, however long the log is."""
+        return versions.replayed(entries(s, d), raft_commit(s, d).first()["commit_index"])
+
+    commit = SQL["raft_commit_index"]
+    _add("raft_log_replay_committed", committed, f"SELECT t, v FROM (SELECT l_partkey AS t, l_orderkey, max(l_extendedprice) AS v, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC) AS n FROM lineitem WHERE l_orderkey <= ({commit}) GROUP BY 1, 2) WHERE n = 1")
+    _add("raft_log_replay", lambda s, d: versions.replayed(entries(s, d), 1000), "SELECT t, v FROM (SELECT l_partkey AS t, l_orderkey, max(l_extendedprice) AS v, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC) AS n FROM lineitem WHERE l_orderkey <= 1000 GROUP BY 1, 2) WHERE n = 1")
 
 
 def raft_commit(s: SparkSession, d: str) -> DataFrame:
