@@ -242,6 +242,17 @@ def test_pii(spark):
     assert got[3].text == "clean text 12 345" and got[4].text is None and got[5].text == ""
 
 
+def test_pii_beside_short_numbers(spark):
+    """A rejected match does not hide the valid value within it or just behind it."""
+    texts = ["call 555-123-4567 123 Main Street", "card 4041894974608795 123", "card 4111 1111 1111 1111 123", "10 20 30 40 50 60 70 4111 1111 1111 1111", "1112 4111 1111 1111 1111 x", "9 9 9 9 9 9 9 9 9 9 9 9 10.20.30.40 ok"]
+    secret = ["555-123-4567", "4041894974608795", "4111 1111 1111 1111", "4111 1111 1111 1111", "4111 1111 1111 1111", "10.20.30.40"]
+    got = {r.doc_id: r for r in pii.pseudonymised(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, s in enumerate(secret):
+        before, after = texts[i].split(s)
+        assert s not in got[i].text and got[i].text.startswith(before) and got[i].text.endswith(after), got[i].text
+    assert [sum(got[i][f"n_{k}"] for k in pii.KINDS) for i in got] == [1] * 6 and got[0].n_phone == got[1].n_card == got[2].n_card == got[5].n_ip == 1
+
+
 def test_pii_permutes(spark):
     """Different values keep different pseudonyms over a whole small domain."""
     days = spark.range(0, 3000).select(F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))

@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms of personal data by keyed Feistel permutations.
 
 E-mail addresses, telephone, card and social security numbers, IP addresses and dates are found
-by patterns and validated (Luhn sum, octets, number areas, real calendar dates). A valid value is
+by patterns and validated (Luhn sum, octets, number areas, real calendar dates). Runs of numbers
+are cut by their valid values only, so what fails validation hides none of them. A valid value is
 split into two halves of its format's domain, and ten Feistel rounds with a keyed SHA-256 permute
 the domain: every value has one pseudonym of the same format, different values have different
 ones, and equal values stay linked across documents. Check digits are worked out anew. Separators,
@@ -36,6 +37,15 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![0-9])",
 }
 ANY = "|".join(PATTERNS[k] for k in KINDS)
+NUMBERS = "|".join(PATTERNS[k] for k in KINDS[1:])
+# What stands around a value of each kind, the usual groupings of cards, and the
+# patterns whose matches are candidates, the first of two at one place going before.
+AROUND = {"date": (r"(?<![0-9-])", r"(?![0-9-])"), "ssn": (r"(?<![0-9-])", r"(?![0-9-])"), "ip": (r"(?<![0-9.])", r"(?!\.?[0-9])"), "card": (r"(?<![0-9+-])", r"(?![0-9-])"), "phone": (r"(?<![0-9A-Za-z])", r"(?![0-9])")}
+_USUAL = r"(?<![0-9+-])(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{4}(?:[ -]\d{3}){3}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,3}|\d{6}[ -]\d{13}|\d{13,19})(?![0-9-])"
+_USUAL_LONG = r"(?<![0-9+-])\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}(?![0-9-])"
+FIRM = [*[(k, PATTERNS[k]) for k in ("date", "ssn", "ip")], ("card", _USUAL), ("card", _USUAL_LONG), ("phone", PATTERNS["phone"])]
+#: digits and separators, with a letter before them, which tells that no phone number begins there
+RUN = r"[A-Za-z]?[0-9 .()+-]{7,}+"
 # Fixed value: days of a 400-year cycle of the calendar, 27 * 5411, from 1800-01-01.
 _DAYS, _DAY_HALF = 146097, 27
 
@@ -190,13 +200,53 @@ def _email(value: Column, key: str) -> Column:
 _HOW = {"email": _email, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card, "phone": _phone}
 
 
-def pseudonym(value: Column, key: str = KEY) -> Column:
-    """struct<kind, value> of a matched value; null kind and the value itself if it is not valid."""
-    out, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k in reversed(KINDS):
-        mine = value.rlike(f"^(?:{PATTERNS[k]})$")
-        out = F.when(mine, F.struct(F.lit(k).alias("kind"), _HOW[k](value, key).alias("value"))).otherwise(out if k != KINDS[-1] else F.lit(None))
-    return _spans.let(out, lambda s: F.struct(F.when(s["value"].isNotNull(), s["kind"]).alias("kind"), F.coalesce(s["value"], value).alias("value")))
+def _piece(kind: Column, value: Column) -> Column:
+    return F.struct(kind.cast("string").alias("kind"), value.alias("value"))
+
+
+def _woven(text: Column, pattern: str | Column, found: Column, open_) -> Column:
+    """array<struct<kind, value>>: what ``open_`` makes of the pieces of ``text`` between the matches of ``pattern``, and ``found`` (an array of pieces for each match)."""
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    return F.flatten(F.zip_with(F.split(text, pattern, -1), found, lambda p, v: F.concat(open_(p), F.coalesce(v, none))))
+
+
+def _plain(text: Column) -> Column:
+    return F.array(_piece(F.lit(None), text))
+
+
+def _loose_cards(text: Column, key: str) -> Column:
+    """Cards in other groupings than the usual ones, where no firm value is."""
+    values = F.transform(_spans.matches(text, PATTERNS["card"]), lambda v: _spans.let(_card(v, key), lambda w: F.array(_piece(F.when(w.isNotNull(), F.lit("card")), F.coalesce(w, v)))))
+    return F.when(text.rlike(PATTERNS["card"]), _woven(text, PATTERNS["card"], values, _plain)).otherwise(_plain(text))
+
+
+def _numbers(run: Column, key: str) -> Column:
+    """Pieces of a run of digits and separators.
+
+    All places where a firm pattern matches are candidates, also within each other; the valid ones
+    make the pattern by which the run is cut, so an invalid match hides nothing.
+    """
+
+    def valid(kind: str, pattern: str) -> Column:
+        values = F.array_distinct(_spans.matches(run, f"(?=({pattern}))", 1))
+        before, after = AROUND[kind]
+        made = F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), _HOW[kind](v, key).alias("out"), F.concat(F.lit(before + r"\Q"), v, F.lit(r"\E" + after)).alias("rule")))
+        none = F.array().cast("array<struct<kind:string,value:string,out:string,rule:string>>")
+        return F.when(run.rlike(pattern), F.filter(made, lambda x: x["out"].isNotNull())).otherwise(none)
+
+    def cut(made: Column) -> Column:
+        rule = F.array_join(F.transform(made, lambda x: x["rule"]), "|")
+        found = F.transform(F.regexp_extract_all(run, rule, F.lit(0)), lambda v: F.array(_spans.let(F.element_at(F.filter(made, lambda x: x["value"] == v), 1), lambda x: _piece(x["kind"], x["out"]))))
+        return F.when(F.size(made) > 0, _woven(run, rule, found, lambda p: _loose_cards(p, key))).otherwise(_loose_cards(run, key))
+
+    return F.when(run.rlike(NUMBERS), _spans.let(F.concat(*[valid(k, p) for k, p in FIRM]), cut)).otherwise(_plain(run))
+
+
+def pseudonyms(text: Column, key: str = KEY) -> Column:
+    """array<struct<kind, value>>: the pieces of ``text``, with pseudonyms of their kind for valid values and kind null for all else."""
+    email = PATTERNS["email"]
+    mails = F.transform(_spans.matches(text, email), lambda v: F.array(_piece(F.lit("email"), _email(v, key))))
+    return _woven(text, email, mails, lambda t: _woven(t, RUN, F.transform(_spans.matches(t, RUN), lambda r: _numbers(r, key)), _plain))
 
 
 def _count(kinds: str, kind: str) -> Column:
@@ -207,9 +257,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with the text rewritten, and one count per kind: n_email, n_date, n_ssn, n_ip, n_card, n_phone."""
     names = [f"n_{k}" for k in KINDS]
     rest = [c for c in docs.columns if c not in names]
-    found = F.transform(_spans.matches(docs["text"], ANY), lambda v: pseudonym(v, key))
-    rows = docs.select(*rest, F.when(docs["text"].rlike(ANY), found).alias("__found"))
-    pieces = F.split("text", ANY, -1)
-    text = F.array_join(F.flatten(F.zip_with(pieces, F.col("__found.value"), lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))), "")
+    rows = docs.select(*rest, F.when(docs["text"].rlike(ANY), pseudonyms(docs["text"], key)).alias("__found"))
+    text = F.array_join("__found.value", "")
     counts = [_count("__found.kind", k).alias(f"n_{k}") for k in KINDS]
     return rows.select(*[F.when(F.col("__found").isNotNull(), text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in rest], *counts)
