@@ -3,6 +3,7 @@ import hashlib
 import os
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -282,6 +283,28 @@ def test_licences(spark):
     assert got[6].unmatched == ["MitAsIs"] and got[4].sentence_ids == ["MitPermission", "MitNotice", "MitAsIs"]
 
 
+NOTICES = {
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of Foo, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.',
+}
+
+
+def test_licences_as_published(spark):
+    """Notices wrapped at 72 columns, plain and behind comment signs."""
+    texts, want = [], []
+    for name, notice in NOTICES.items():
+        lines = "\n\n".join(textwrap.fill(p, 72) for p in notice.split("\n\n"))
+        for sign in ("", "# ", " * ", "// "):
+            texts.append("import x\n\n" + "\n".join(sign + l for l in lines.split("\n")) + "\n\nmore text")
+            want.append([name])
+    texts.append(NOTICES["GPL-3.0"].replace("software: you", "software; you"))
+    got = {r.doc_id: r for r in licences.scan(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i].licences for i in range(len(texts))] == [*want, ["GPL-3.0"]]
+
+
 def test_licences_odd(odd, none):
     assert licences.scan(odd).where("size(licences) = 0").count() == 10 and licences.scan(none).count() == 0
 

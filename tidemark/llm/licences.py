@@ -1,7 +1,9 @@
 """Licence scans by sentence rules.
 
-Texts are cut into sentences, each sentence is normalised (lower case, single spaces, no
-punctuation, one spelling of licence) and matched against known sentences. The identifiers of a
+Texts are normalised (lower case, single spaces, no punctuation, one spelling of licence), with
+marks where lines, sentences and paragraphs end. A known sentence begins and ends at marks and may
+have more between its words, so wrapped lines, comment signs, 'software: you' and 'v. 2.0' do not
+part it. The SQL knows only sentences that no line end, ':' or ';' parts. The identifiers of a
 text's known sentences, in order, are then matched against ordered rules: a rule that finds its
 sequence names a licence and uses up the identifiers, so a longer text's rule comes before the
 rules of its parts. Identifiers that no rule uses are reported as unmatched.
@@ -83,12 +85,34 @@ RULES = [
 ]
 #: every known sentence has one of these words, so other sentences are not matched at all
 HINT = "licen[sc]e|spdx|redistribut|permission|warrant|copyright|public domain|all rights reserved|licen[sc]ed|cc.by|creative commons|free software"
-SENTENCE_END = r"(?<=[.!?;:])\s+|[\r\n]+"
+#: the same where lines are wrapped, behind comment signs too
+WRAPPED_HINT = "(?is)" + HINT.replace(" ", "[^a-z0-9]+")
+# Marks of a wrapped line, ':' or ';', of a sentence's end, and of an empty line.
+WRAP, END, GAP = "\x01", "\x02", "\x03"
+#: what the ``.*`` within a sentence may cross; those of other sentences stay within a line
+ACROSS = {"GplFree": f"[^{END}{GAP}]*?", "BsdEndorse": f"[^{GAP}]*?"}
 
 
-def normalised(sentence: Column) -> Column:
-    s = F.regexp_replace(F.lower(sentence), "licence", "license")
-    return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
+def normalised(text: Column) -> Column:
+    """Lower case, single spaces, no punctuation, one spelling of licence, and the marks where a sentence may begin or end."""
+    s = F.translate(F.replace(F.lower(text), F.lit("\r\n"), F.lit("\n")), f"\r{WRAP}{END}{GAP}", "\n   ")
+    s = F.regexp_replace(s, "licence", "license")
+    s = F.regexp_replace(s, r"\n[^a-z0-9]*\n", GAP)
+    s = F.regexp_replace(s, r"(?<=[.!?])\s+", END)
+    s = F.regexp_replace(s, r"(?<=[:;])\s+|\n", WRAP)
+    s = F.regexp_replace(s, f"[^a-z0-9{WRAP}{END}{GAP}]+", " ")
+    return F.trim(F.regexp_replace(s, f" ?([{WRAP}{END}{GAP}]) ?", "$1"))
+
+
+def _wrapped(key: str, pattern: str) -> str:
+    """``pattern`` over marked texts: words may be parted by marks."""
+    ends = f"[^{WRAP}{END}{GAP}]*"
+    head, tail = pattern.startswith(".*"), pattern.endswith(".*")
+    core = pattern[2 * head : len(pattern) - 2 * tail].replace(".*", ACROSS.get(key, ends)).replace(" ", f"[ {WRAP}{END}{GAP}]+")
+    return ends * head + core + ends * tail
+
+
+KNOWN = f"(?<![a-z0-9 ])(?:{'|'.join(_wrapped(k, p) for k, p in SENTENCES)})(?![a-z0-9 ])"
 
 
 def identifiers(text: Column) -> Column:
@@ -100,9 +124,9 @@ def identifiers(text: Column) -> Column:
             found = found.when(s.rlike(f"^(?:{pattern})$"), F.lit(key))
         return found
 
-    hinted = F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(f"(?i){HINT}"))
-    names = F.transform(F.transform(hinted, normalised), name)
-    return F.when(text.rlike(f"(?i){HINT}"), F.filter(names, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    found = F.regexp_extract_all(normalised(text), F.lit(KNOWN), F.lit(0))
+    names = F.transform(F.transform(found, lambda s: F.regexp_replace(s, f"[ {WRAP}{END}{GAP}]+", " ")), name)
+    return F.when(text.rlike(WRAPPED_HINT), F.filter(names, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def recognised(ids: Column) -> Column:
