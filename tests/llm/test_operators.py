@@ -219,6 +219,29 @@ def test_secrets(spark):
     assert all("markov" not in got[d].found for d in range(300))
 
 
+def test_secrets_in_copies(spark):
+    """A random string does not become an identifier by a thousand copies of its document."""
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    plain = ["the", "connection", "internationalisation", "get_user_by_identifier_name", "configuration-value-of-the-table"]
+    rows = [(i, " ".join(rng.choice(plain) for _ in range(40)) + f" password={''.join(rng.choice(letters) for _ in range(24))} and", "s") for i in range(300)]
+    text = "look: " + "".join(rng.choice(letters) for _ in range(40)) + " here"
+    df = frame(spark, rows + [(1000 + i, text, "s") for i in range(1000)])
+    got = secrets.scan(df, secrets.train(df)).select("doc_id", secrets.digest(F.col("found")).alias("found")).collect()
+    assert all((r.found == "markov:6:46") == (r.doc_id >= 1000) for r in got)
+
+
+def test_secrets_ordinary_tokens_of_all_documents(spark):
+    """The threshold covers the long tokens of all documents, also when the models are fitted on few."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    token = "".join(rng.choice(letters) for _ in range(40))
+    plain = ["the", "connection", "internationalisation", "get_user_by_identifier_name", "configuration-value-of-the-table"]
+    rows = [(i, " ".join(rng.choice(plain) for _ in range(40)) + f" password={''.join(rng.choice(letters) for _ in range(24))} and" + f" {token}" * (i < 2), "s") for i in range(400)]
+    model = secrets.train(frame(spark, rows), ordinary_docs=40)
+    assert model.threshold >= frame(spark, rows[:1]).select(model.score(F.lit(token))).first()[0] - 1e-9 > secrets.FLOOR
+
+
 def test_secrets_odd(odd, none):
     model = secrets.train(odd)
     got = secrets.scan(odd, model).collect()

@@ -4,9 +4,10 @@ Three formats give the base spans. They also label a sample: strings found by th
 strings, all other tokens that recur ordinary identifiers. Two first-order Markov models of characters are
 counted from this sample, and tokens outside the base spans whose mean log-likelihood ratio per
 character is above a threshold are spans of kind markov. The threshold is the larger of a fixed
-floor and a high quantile of the ordinary tokens' ratios.
+floor and a high quantile of the ratios of the ordinary tokens of all documents. A token recurs if
+it is in two different texts; copies of a text count once.
 
-The sample is bounded in documents (``LABELLED_DOCS`` for secrets, ``ORDINARY_DOCS`` for ordinary
+The sample that the models are counted from is bounded in documents (``LABELLED_DOCS`` for secrets, ``ORDINARY_DOCS`` for ordinary
 tokens) and chosen by hash; scanning runs over whole texts. DataFrame functions only.
 
 Edge cases: null texts are empty; texts without spans have counts 0 and the digest of the empty
@@ -82,13 +83,16 @@ def _pairs(tokens: DataFrame) -> DataFrame:
     return pair.groupBy("pair").agg(F.sum("n").alias("count"))
 
 
-def _ordinary(docs: DataFrame) -> DataFrame:
-    """Tokens outside the base spans that occur more than once: identifiers recur, random strings do not."""
-    text = _common.text_of(docs)
+def _ordinary(docs: DataFrame, least: int = 4) -> DataFrame:
+    """Tokens outside the base spans that occur in more than one text, with the number of texts: identifiers recur, random strings do not.
+
+    Copies of a text are one text, so they do not make its random strings recur.
+    """
+    whole = text = _common.text_of(docs)
     for p in (ASSIGN, _ACCESS_LONG, _HEX_LONG):
         text = F.regexp_replace(text, p, " ")
-    tokens = docs.select(F.explode(_spans.matches(text, r"[A-Za-z0-9+/_=.-]{4,}")).alias("token"))
-    return tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    tokens = docs.select(F.xxhash64(whole).alias("text_key"), F.explode(_spans.matches(text, f"[A-Za-z0-9+/_=.-]{{{least},}}")).alias("token"))
+    return tokens.distinct().groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def _transitions(counts: dict[str, int], weight: float = 10.0) -> list[float]:
@@ -113,7 +117,7 @@ def train(docs: DataFrame, labelled_docs: int = LABELLED_DOCS, ordinary_docs: in
     if not secret:
         return Model(ratios, math.inf)
     model = Model(ratios, FLOOR)
-    long = _ordinary(few).where(F.length("token") >= 20).select(model.score(F.col("token")).alias("score"))
+    long = _ordinary(docs, 20).select(model.score(F.col("token")).alias("score"))
     high = long.agg(F.percentile_approx("score", QUANTILE, 10000)).first()[0]
     return Model(ratios, max(FLOOR, high if high is not None else FLOOR))
 
