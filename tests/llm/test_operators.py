@@ -85,6 +85,40 @@ def test_near_duplicates_of_chains(spark):
     assert sorted(r.doc_id for r in neardup.deduplicated(df).collect()) == sorted(set(want.values()))
 
 
+@pytest.mark.parametrize("limit", [3_000, 500_000])
+def test_near_duplicates_in_a_crowded_bucket(spark, limit):
+    """Texts that share most of their words: many are a little under the threshold, some chains reach it. Small limits take the way for large buckets."""
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(80)]
+    made = [(i, " ".join(shared + [f"own{i}x{j}" for j in range(10 + i % 12)])) for i in range(150)]
+    for i in range(150, 200):
+        w = made[rng.randrange(i)][1].split()
+        w[rng.randrange(len(w))] = f"edit{i}"
+        made.append((i, " ".join(w)))
+    made += [(200 + i, " ".join(rng.choice(["to", "be", "or", "not"]) for _ in range(12))) for i in range(60)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df, group_shingles=limit).collect()}
+    assert got == brute.classes(made)
+
+
+def test_signatures_in_bounded_parts():
+    """Long texts, heavy shingles and many short texts give the same darts in small parts as at once."""
+    rng = np.random.default_rng(4)
+    size = np.array([3, 0, 5000, 40, 1, 8, 8, 8])
+    h = rng.integers(0, 2**63, size.sum()).astype(np.uint64)
+    w = rng.integers(1, 4, size.sum())
+    w[size[:3].sum()] = 70_000
+    begin = np.concatenate([[0], np.cumsum(size)])
+    whole = neardup.signatures(h, w, begin, 64)
+    cells, neardup.CELLS = neardup.CELLS, 5_000
+    try:
+        assert (neardup.signatures(h, w, begin, 64) == whole).all()
+        parts = [len(e) * 100 for e, *_ in neardup._units(h, w.astype(float), np.repeat(np.arange(8), size), np.full(8, 100))]
+        assert max(parts) <= 5_000 and sum(parts) == 100 * w.sum()
+    finally:
+        neardup.CELLS = cells
+
+
 def test_near_duplicates_odd(odd, none):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == 10 and neardup.near_duplicates(none).count() == 0

@@ -8,16 +8,23 @@ documents agree in a coordinate with the probability of their weighted Jaccard s
 Signatures are cut into bands; documents that share a band are candidates.
 
 Documents of equal word sequence are one representative from the start. Each band bucket links
-its members to the first of them; every such pair is verified on the exact
-shingles, and verified pairs give classes. Buckets that still hold several classes then compare
-members across these classes by longer signatures, best pairs first, until no unverified pair
-across classes is close enough to reach the threshold. So no link between different texts is lost
-but those whose bands all differ (probability under 1e-5 at the threshold), and groups of near
-copies cost a few pairs for each member, not one for each two members.
+its members to the first of them; every such pair is verified on the shingles, and verified pairs
+give classes. In buckets that still hold several classes, members are then compared across
+classes: a member looks only at those that share one of its rarest shingles, so many that whoever
+shares none of them cannot reach the threshold. A group gives at most one link for each of its
+classes, so the output never grows with the square of a bucket. A bucket of over ``GROUP_SHINGLES``
+shingles is first cut by the same rule over all members of such buckets: members meet by the rare
+shingles that they share, and only what is still too large is compared in pairs of blocks.
+
+No pair of different texts that shares a band is left out; a pair at the threshold shares none
+with a probability of (1 - 0.8**6)**40 = 5e-6. Shingles are told apart by 64 bits of hash.
 
 Edge cases: null and empty texts have no shingle and are alike, one class; texts of one to four
-words have one shingle; repeated rows and doc_ids fall in the class of their text; a null doc_id
-counts as the last. An empty table gives an empty result. Extra columns are left out.
+words have one shingle; texts of any length are compared whole, their darts thrown and their
+shingles compared in parts of bounded size; repeated rows and doc_ids fall in the class of their
+text; a null doc_id counts as the last; of classes, the smallest doc_id names them, and of rows
+that tie in doc_id the smallest text hash stays. An empty table gives an empty result. Extra
+columns are left out, ``deduplicated`` keeps them.
 """
 
 from __future__ import annotations
@@ -25,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,14 +43,10 @@ U = _words.U
 SIZE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
-PRECISE = 1024  # coordinates of the signatures that are compared within buckets
-MARGIN = 0.0625  # five standard errors of their estimate at the threshold
-FIRST_TRIES, NEXT_TRIES = 8, 64
-MINOR_BLOCK = 256
-HOT_DEGREE = 500
+CELLS = 400_000  # of darts that are thrown at once
+GROUP_SHINGLES = 500_000  # of the texts that one task compares at once
 BROADCAST_NODES = 1_000_000
 _LAST = 2**63 - 1
-_HASH_BYTES = 5  # of each shingle when two texts are compared
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 12.0)])))
 _CDF = (_POISSON * 2.0**53).astype(np.uint64)
 _NONE = U(2**64 - 1)
@@ -60,18 +64,15 @@ def weighted_shingles(w: _words.Words, size: int = SIZE) -> tuple[np.ndarray, np
     return h[at], np.diff(np.append(at, len(h))), np.searchsorted(text[at], np.arange(len(first)))
 
 
-def _throw(element: np.ndarray, weight: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, out: np.ndarray) -> None:
-    """Throw the darts with rank in [low, high) of each row; ``out`` keeps the earliest by coordinate.
+def _throw(element: np.ndarray, unit: np.ndarray, weight: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, out: np.ndarray) -> None:
+    """Throw the darts of units of elements with rank in [low, high) of each row; ``out`` keeps the earliest by coordinate.
 
     Dart and rank share a 64-bit value: 40 bits of rank, 24 bits that tell darts apart.
     """
-    units = np.ceil(weight).astype(np.int64)
-    unit = np.arange(int(units.sum())) - np.repeat(np.cumsum(units) - units, units)
-    element, row, weight = np.repeat(_words.mixed(element, 13), units), np.repeat(row, units), np.repeat(weight, units)
     cell = _words.mixed(element + unit.astype(U) * U(0x9E3779B97F4A7C15), 17)
-    span = np.ceil(high).astype(np.int64) - np.floor(low).astype(np.int64)
-    n = span[row]
-    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.floor(low).astype(np.int64)[row], n)
+    begin = np.floor(low).astype(np.int64)[row]
+    n = np.ceil(high).astype(np.int64)[row] - begin
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
     cell = _words.mixed(np.repeat(cell, n) + step.astype(U) * U(0xD1B54A32D192ED03), 23)
     darts = np.searchsorted(_CDF, cell >> U(11), side="right")
     which = np.arange(int(darts.sum())) - np.repeat(np.cumsum(darts) - darts, darts)
@@ -88,28 +89,50 @@ def _throw(element: np.ndarray, weight: np.ndarray, row: np.ndarray, low: np.nda
     np.minimum.at(out, (r[held], coordinate[held].astype(np.int64)), value[held])
 
 
+def _units(element: np.ndarray, weight: np.ndarray, row: np.ndarray, span: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(element, unit, weight, row) of all units of weight, in parts of about ``CELLS`` cells.
+
+    A unit has ``span`` cells in its row, so neither long texts nor shingles of great weight make a
+    part larger.
+    """
+    units = np.ceil(weight).astype(np.int64)
+    cost = units * span[row]
+    end = np.cumsum(cost)
+    at = 0
+    while at < len(units):
+        stop = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + CELLS, "right")))
+        n = units[at:stop]
+        most = max(1, CELLS // max(1, int(span[row[at]]))) if stop == at + 1 else int(n.sum())
+        for first in range(0, max(1, int(n.sum())), max(1, most)):
+            flat = np.arange(first, min(int(n.sum()), first + most))
+            which = at + np.searchsorted(np.cumsum(n), flat, "right")
+            unit = flat - (np.cumsum(n) - n)[which - at]
+            yield element[which], unit, weight[which], row[which]
+        at = stop
+
+
 def signatures(element: np.ndarray, weight: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
     """DartMinHash signatures, one row of ``k`` values for each weighted set; empty sets have none."""
     rows = len(begin) - 1
     out = np.full((rows, k), _NONE, U)
     row = np.repeat(np.arange(rows), np.diff(begin))
     total = np.bincount(row, weight, rows) if len(row) else np.zeros(rows)
+    element, weight = _words.mixed(element, 13), weight.astype(float)
     darts = k * np.log(k) + 2 * k
     low, high = np.zeros(rows), darts / np.maximum(total, 1e-9)
     todo = total > 0
     while todo.any():
-        for part in np.array_split(np.flatnonzero(todo), max(1, int(todo.sum()) // 400)):
-            pick = np.zeros(rows, bool)
-            pick[part] = True
-            mine = pick[row]
-            _throw(element[mine], weight[mine].astype(float), row[mine], low, high, k, out)
+        mine = todo[row]
+        span = np.ceil(high).astype(np.int64) - np.floor(low).astype(np.int64)
+        for part in _units(element[mine], weight[mine], row[mine], span):
+            _throw(*part, low, high, k, out)
         todo &= (out == _NONE).any(1)
         low, high = np.where(todo, high, low), np.where(todo, 2 * high, high)
     return out
 
 
 def sketches(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc, tkey, same (binary, equal for equal word sequences), bands array<long>.
+    """doc, tkey, same (binary, equal for equal word sequences), n (distinct shingles), bands array<long>.
 
     ``docs`` has columns doc, tkey and text.
     """
@@ -119,17 +142,18 @@ def sketches(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int =
         for batch in batches:
             for a, b, data, offsets in _words.slices(batch.column("text")):
                 w = _words.words(data, offsets)
-                sig = signatures(*weighted_shingles(w, size), k)
+                h, n, begin = weighted_shingles(w, size)
+                sig = signatures(h, n, begin, k)
                 band = np.tile(np.arange(bands, dtype=U), (b - a, 1))
                 for j in range(rows):
                     band = _words.mixed(band + sig[:, j::rows], j)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(a, b - a), batch.column("tkey").slice(a, b - a), pa.array(_sameness(w), pa.binary()), lists],
-                    names=["doc", "tkey", "same", "bands"],
+                    [batch.column("doc").slice(a, b - a), batch.column("tkey").slice(a, b - a), pa.array(_sameness(w), pa.binary()), pa.array(np.diff(begin)), lists],
+                    names=["doc", "tkey", "same", "n", "bands"],
                 )
 
-    return docs.select("doc", "tkey", "text").mapInArrow(run, "doc long, tkey long, same binary, bands array<long>")
+    return docs.select("doc", "tkey", "text").mapInArrow(run, "doc long, tkey long, same binary, n long, bands array<long>")
 
 
 def _sameness(w: _words.Words) -> list[bytes]:
@@ -138,83 +162,148 @@ def _sameness(w: _words.Words) -> list[bytes]:
     return [x.tobytes() for x in np.stack(parts, 1)]
 
 
-def precise(docs: DataFrame, size: int = SIZE, k: int = PRECISE) -> DataFrame:
-    """same and a byte of each coordinate of a longer signature."""
+def features(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """same, h (shingle hashes in rising order) and c (their counts) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in _words.slices(batch.column("text")):
                 w = _words.words(data, offsets)
-                low = _words.mixed(signatures(*weighted_shingles(w, size), k)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array(_sameness(w), pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())], names=["same", "brief"])
+                h, n, begin = weighted_shingles(w, size)
+                at = pa.array(begin.astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (h.view(np.int64), n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(_sameness(w), pa.binary()), *lists], names=["same", "h", "c"])
 
-    return docs.select("text").mapInArrow(run, "same binary, brief binary")
+    return docs.select("text").mapInArrow(run, "same binary, h array<long>, c array<int>")
 
 
-def _chosen(docs: DataFrame, texts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents that stand for ``nodes``, and (same, node) of these."""
+def _features_of(docs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node, h, c of ``nodes`` (column node); only documents that stand for one are looked at again."""
     ends = texts.join(nodes, "node", "left_semi")
-    few = ends.count() <= BROADCAST_NODES
-    reps = ends.select(F.col("rep.doc").alias("rep_doc"))
-    return docs.join(F.broadcast(reps) if few else reps, docs["doc"] == reps["rep_doc"], "left_semi"), ends.select("same", "node")
-
-
-def features(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """same and the weighted shingles as bytes: hashes in rising order, then their counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in _words.slices(batch.column("text")):
-                w = _words.words(data, offsets)
-                h, n, begin = weighted_shingles(w, size)
-                short = h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]
-                packed = [short[i:j].tobytes() + n[i:j].astype("<u4").tobytes() for i, j in zip(begin[:-1], begin[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(_sameness(w), pa.binary()), pa.array(packed, pa.binary())], names=["same", "shingles"])
+    reps = ends.select(F.col("rep.doc").alias("rep_doc")).distinct()
+    reps = F.broadcast(reps) if nodes.count() <= BROADCAST_NODES else reps  # a number of each
+    chosen = docs.join(reps, docs["doc"] == reps["rep_doc"], "left_semi")
+    # repeated rows, and other texts of a chosen doc_id, go here
+    return features(chosen, size).join(ends.select("same", "node"), "same").dropDuplicates(["node"]).select("node", "h", "c")
 
-    return docs.select("text").mapInArrow(run, "same binary, shingles binary")
 
+def linked(rows: DataFrame, shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b) between members of different classes within each group, enough to join all classes that belong together.
 
-def _opened(z: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(z) // (_HASH_BYTES + 4)
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, 8 - _HASH_BYTES :] = np.frombuffer(z, np.uint8, n * _HASH_BYTES).reshape(n, _HASH_BYTES)
-    return wide.view(">u8").ravel().astype(np.int64), np.frombuffer(z, "<u4", n, n * _HASH_BYTES).astype(np.int64)
+    ``rows``: g (group), node, cls, own, n; members with ``own`` are compared with all of the
+    group. ``shingles``: node, h, c. Groups are dealt into bins of about ``GROUP_SHINGLES``.
+    """
+    bins = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // GROUP_SHINGLES))
+    full = rows.join(shingles, "node").withColumn("bin", F.pmod(F.xxhash64("g"), F.lit(bins)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.select(["g", "node", "cls", "own", "h", "c"]).combine_chunks().sort_by("g")
+        g, node, cls, own = (table.column(c).to_numpy() for c in ("g", "node", "cls", "own"))
+        h, c = (_chunk(table.column(x)) for x in ("h", "c"))
+        at = h.offsets.to_numpy().astype(np.int64)
+        h, c = h.values.to_numpy(), c.values.to_numpy().astype(np.int64)
+        edge = np.append(np.flatnonzero(np.diff(g, prepend=g[0] - 1)), len(g)) if len(g) else np.zeros(1, np.int64)
+        a, b = [], []
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            inner = slice(at[i], at[j])
+            for x, y in _links(h[inner], c[inner], at[i : j + 1] - at[i], cls[i:j], own[i:j], threshold):
+                a.append(node[i + x])
+                b.append(node[i + y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return full.groupBy("bin").applyInArrow(run, "a long, b long")
+
+
+def _chunk(column: pa.ChunkedArray) -> pa.ListArray:
+    out = column.combine_chunks()
+    return out.chunk(0) if isinstance(out, pa.ChunkedArray) else out
+
+
+def _links(h: np.ndarray, c: np.ndarray, at: np.ndarray, cls: np.ndarray, own: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+    """Pairs of members, at least ``threshold`` alike, that join the classes of one group; ``at`` tells where each one's shingles begin.
+
+    If the shared weight of two members reaches ``threshold`` times the weight of one, they share
+    a shingle besides the last ones of less than that weight together. So a member has to look at
+    those that share one of its rarest shingles down to there.
+    """
+    n = len(cls)
+    weight = np.add.reduceat(np.append(c, 0), at[:-1]) * (np.diff(at) > 0)
+    kind, head = np.unique(cls, return_inverse=True)
+    head = head.copy()  # class number of each member; linked classes get one number
+    if len(kind) < 2:
+        return
+    code, kinds = pd.factorize(h)
+    member = np.repeat(np.arange(n), np.diff(at))
+    df = np.bincount(code, minlength=len(kinds))
+    by_code = np.argsort(code, kind="stable")
+    first = np.concatenate([[0], np.cumsum(df)])
+    mark = np.zeros(len(kinds), np.int64)
+    for i in np.flatnonzero(own):
+        if not weight[i]:
+            continue
+        mine = np.arange(at[i], at[i + 1])
+        mine = mine[np.argsort(df[code[mine]], kind="stable")]
+        before = np.cumsum(c[mine]) - c[mine]
+        rare = code[mine[before <= (1 - threshold) * weight[i] + 1e-9]]
+        rare = rare[df[rare] > 1]
+        if not len(rare):
+            continue
+        near = np.zeros(n, bool)
+        near[member[by_code[_ranges(first[rare], df[rare])]]] = True
+        near &= (head != head[i]) & (weight >= threshold * weight[i] - 1e-9) & (threshold * weight <= weight[i] + 1e-9)
+        other = np.flatnonzero(near)
+        if not len(other):
+            continue
+        mark[code[mine]] = c[mine]
+        size = at[other + 1] - at[other]
+        flat = _ranges(at[other], size)
+        shared = np.add.reduceat(np.minimum(mark[code[flat]], c[flat]), np.cumsum(size) - size)
+        mark[code[mine]] = 0
+        alike = other[shared >= threshold * (weight[other] + weight[i] - shared) - 1e-9]
+        for j in alike[np.unique(head[alike], return_index=True)[1]]:
+            yield int(i), int(j)
+            head[head == head[j]] = head[i]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... of each start, ``size`` numbers of it."""
+    end = np.cumsum(size)
+    return np.arange(end[-1]) - np.repeat(end - size, size) + np.repeat(start, size)
+
+
+def _parted(rows: DataFrame, limit: int) -> DataFrame:
+    """Groups of over ``limit`` shingles as pairs of blocks: g, node, cls, own, n.
+
+    Members are dealt into blocks by hash; the group of blocks i <= j compares block i with j.
+    """
+    blocks = rows.groupBy("g").agg(F.ceil(F.sum("n") / (limit / 2)).cast("int").alias("blocks"))
+    small = rows.join(blocks.where("blocks <= 2").select("g"), "g", "left_semi").withColumn("own", F.lit(True))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    large = rows.join(blocks.where("blocks > 2"), "g").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lo, hi = F.least("block", "with"), F.greatest("block", "with")
+    large = large.select(F.xxhash64("g", lo, hi).alias("g"), "node", "cls", (F.col("block") == lo).alias("own"), "n")
+    return small.select("g", "node", "cls", "own", "n").unionByName(large)
 
 
-def similarity(x: bytes, y: bytes) -> float:
-    """Weighted Jaccard similarity of two packed shingle sets."""
-    (hx, nx), (hy, ny) = _opened(x), _opened(y)
-    total = int(nx.sum() + ny.sum())
-    if not total:
-        return 1.0
-    if not len(hx) or not len(hy):
-        return 0.0
-    at = np.minimum(np.searchsorted(hx, hy), len(hx) - 1)
-    shared = int(np.minimum(nx[at], ny)[hx[at] == hy].sum())
-    return shared / (total - shared)
+def _several(rows: DataFrame) -> DataFrame:
+    """Rows of the groups that hold several classes."""
+    keys = rows.groupBy("g").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("g")
+    return rows.join(keys, "g", "left_semi")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
-    """Pairs (a, b) of nodes with their exact similarity, from ``threshold`` on.
+def _by_rare_shingles(members: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """Groups of ``members`` (node, cls, n) that share one of their rare shingles: g, node, cls, n.
 
-    ``texts`` has one row per distinct text: same, rep (a doc of it), node. A node with many
-    partners is copied once per block of partners, so no task gets them all.
+    Shingles are put in the order of their number of members; each member counts its own from the
+    rarest until the rest weighs less than ``threshold`` of it. Two members that reach the threshold
+    share one of these.
     """
-    hot = pairs.groupBy("a").agg(F.least(F.ceil(F.count("b") / HOT_DEGREE), F.lit(256)).cast("int").alias("parts"))
-    pairs = pairs.join(hot, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    docs, ends = _chosen(docs, texts, ends)
-    f = _common.written(features(docs, size).join(ends, "same").select("node", "shingles"), "shingles")
-    left = f.join(hot.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("x"))
-    joined = pairs.join(f.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").join(left, ["a", "part"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sim = np.array([similarity(p.as_py(), q.as_py()) for p, q in zip(batch.column("x"), batch.column("y"), strict=True)])
-            pick = pa.array(sim >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pick), batch.column("b").filter(pick), pa.array(sim[sim >= threshold])], names=["a", "b", "similarity"])
-
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
+    each = members.join(shingles, "node").select("node", "cls", "n", F.explode(F.arrays_zip("h", "c")).alias("e")).select("node", "cls", "n", F.col("e.h").alias("h"), F.col("e.c").alias("c"))
+    each = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
+    order = Window.partitionBy("node").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, 0)
+    upto = each.withColumn("upto", F.sum("c").over(order)).withColumn("whole", F.sum("c").over(Window.partitionBy("node")))
+    rare = upto.where((F.col("upto") - F.col("c") <= (1 - threshold) * F.col("whole") + 1e-9) & (F.col("df") > 1))
+    return rare.select(F.xxhash64("h", F.lit(5)).alias("g"), "node", "cls", "n")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -245,72 +334,36 @@ def _labelled(rows: DataFrame, classes: DataFrame, name: str = "node", label: st
     return rows.join(c, name, "left").withColumn(label, F.coalesce("__class", F.col(name))).drop("__class")
 
 
-def across(member: DataFrame, briefs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of one bucket but different classes whose signatures agree in ``least`` of the coordinates.
-
-    ``member``: key, node, class of the buckets with several classes. The members outside a
-    bucket's largest class are dealt into blocks, each compared with the whole bucket.
-    """
-    sizes = member.groupBy("key", "class").count()
-    major = sizes.groupBy("key").agg(F.max_by("class", F.struct("count", "class")).alias("major"), F.ceil((F.sum("count") - F.max("count")) / MINOR_BLOCK).cast("int").alias("blocks"))
-    m = member.join(major, "key").withColumn("own", F.when(F.col("class") != F.col("major"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    m = m.join(briefs, "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
-    def run(group: pa.Table) -> pa.Table:
-        block = group.column("block")[0].as_py()
-        sig = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in group.column("brief")])
-        node, cls = group.column("node").to_numpy(), group.column("class").to_numpy()
-        own = group.column("own").fill_null(-1).to_numpy()
-        a, b, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for i in np.flatnonzero(own == block):
-            agree = ((sig == sig[i]).mean(1) * 256 - 1) / 255  # bytes agree by chance once in 256
-            ok = np.flatnonzero((agree >= least) & (cls != cls[i]))
-            a.append(np.minimum(node[ok], node[i]))
-            b.append(np.maximum(node[ok], node[i]))
-            s.append(agree[ok])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "agree": np.concatenate(s)})
-
-    found = m.select("key", "block", "node", "class", "own", "brief").groupBy("key", "block").applyInArrow(run, "a long, b long, agree double")
-    return found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
-
-
-def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, group_shingles: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """(sketch, texts): doc, tkey and same of every row; same, rep (doc, tkey), class and head (the first rep of its class) of every text."""
     base = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("doc"), _common.text_of(docs).alias("text"))
     sketch = _common.written(sketches(base.withColumn("tkey", F.xxhash64("text")), size, bands, rows), "sketches")
-    texts = sketch.groupBy("same").agg(F.min(F.struct("doc", "tkey")).alias("rep")).withColumn("node", F.monotonically_increasing_id())
-    texts = _common.written(texts, "texts")  # fixes the node numbers
-    reps = sketch.join(texts, [sketch["same"] == texts["same"], sketch["doc"] == texts["rep.doc"]]).select("node", "bands")
-    reps = _common.written(reps, "reps")
-    member = reps.select("node", F.explode("bands").alias("key"))
-    bucket = member.groupBy("key").agg(F.count("node").alias("n"), F.min("node").alias("a")).where("n > 1").select("key", "a")
-    crowd = _common.written(member.join(bucket, "key"), "buckets")
-    tried = _common.written(crowd.where("node != a").select("a", F.col("node").alias("b")).distinct(), "stars")
-    found = components(verified(tried, base, texts, threshold, size))
-
-    labelled = _labelled(crowd.select("key", "node"), found)
-    several = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
-    mixed = _common.written(labelled.join(several, "key").select("key", "node", "class"), "mixed")
-    some, ends = _chosen(base, texts, mixed.select("node").distinct())
-    briefs = _common.written(precise(some, size).join(ends, "same").select("node", "brief"), "precise")
-    near = across(mixed, briefs, threshold - MARGIN)
-    near = near.join(tried, ["a", "b"], "left_anti")
-    near = _labelled(_labelled(near, found, "a", "ca"), found, "b", "cb")
-    near = _common.written(near, "open")
-    tries = FIRST_TRIES
-    while near.limit(1).count():
-        # the best pairs of each two classes; a link makes the two one, and their other pairs need no look
-        pair = Window.partitionBy("ca", "cb").orderBy(F.desc("agree"), "a", "b")
-        near = near.select("a", "b", "agree", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
-        near = _common.written(near.withColumn("place", F.row_number().over(pair)), "ordered")
-        links = verified(near.where(F.col("place") <= tries).select("a", "b"), base, texts, threshold, size)
-        links = _labelled(_labelled(links, found, "a", "ca"), found, "b", "cb")
-        merged = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        found = _merged(found, merged)
-        near = near.where(F.col("place") > tries).drop("place")
-        near = _labelled(_labelled(near, merged, "ca", "ca2"), merged, "cb", "cb2").where("ca2 != cb2")
-        near = _common.written(near.select("a", "b", "agree", F.col("ca2").alias("ca"), F.col("cb2").alias("cb")), "open")
-        tries *= NEXT_TRIES
+    texts = sketch.groupBy("same").agg(F.min(F.struct("doc", "tkey")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    whole = _common.written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")  # fixes the node numbers
+    texts = whole.select("same", "rep", "node")
+
+    member = whole.select("node", "n", F.explode("bands").alias("g"))
+    bucket = member.groupBy("g").agg(F.count("node").alias("members"), F.min("node").alias("a")).where("members > 1").select("g", "a")
+    crowd = _common.written(member.join(bucket, "g"), "buckets")
+    shingles = _common.written(_features_of(base, texts, crowd.select("node").distinct(), size), "shingles")
+
+    # each member with the first of its bucket: a group for each first, in parts
+    pairs = crowd.where("node != a").select("a", "node", "n").distinct()
+    firsts = pairs.groupBy("a").agg(F.ceil(F.sum("n") / group_shingles).cast("int").alias("parts"))
+    pairs = pairs.join(firsts, "a").select("a", "node", "n", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    centres = firsts.join(whole.select(F.col("node").alias("a"), "n"), "a").select("a", F.col("a").alias("node"), "n", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    stars = pairs.unionByName(centres).select(F.xxhash64("a", "part").alias("g"), "node", F.col("node").alias("cls"), (F.col("node") == F.col("a")).alias("own"), "n")
+    found = components(linked(stars, shingles, threshold))
+
+    # buckets that still hold several classes
+    mixed = _common.written(_several(_labelled(crowd.select("g", "node", "n"), found, label="cls")), "mixed")
+    large = mixed.groupBy("g").agg(F.sum("n").alias("all")).where(F.col("all") > group_shingles).select("g")
+    hot = mixed.join(large, "g", "left_semi").select("node", "cls", "n").distinct()
+    again = _several(_by_rare_shingles(hot, shingles, threshold))
+    groups = _parted(again, group_shingles).unionByName(mixed.join(large, "g", "left_anti").select("g", "node", "cls", F.lit(True).alias("own"), "n"))
+    links = linked(_common.written(groups, "groups"), shingles, threshold)
+    links = _labelled(_labelled(links, found, "a", "ca"), found, "b", "cb")
+    found = _merged(found, components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
     texts = _labelled(texts, found)
     return sketch, texts.join(texts.groupBy("class").agg(F.min("rep").alias("head")), "class")
 
@@ -322,16 +375,16 @@ def _merged(found: DataFrame, merged: DataFrame) -> DataFrame:
     return _common.written(moved.unionByName(alone.select("node", "class")), "classes")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """One row per row of ``docs``: doc_id and class_id, the smallest doc_id of its class."""
-    sketch, texts = classes(docs, threshold, size, bands, rows)
+    sketch, texts = classes(docs, threshold, size, bands, rows, group_shingles)
     out = sketch.select("doc", "same").join(texts.select("same", F.col("head.doc").alias("class_id")), "same")
     return out.select(*[F.when(F.col(c) != _LAST, F.col(c)).alias(n) for c, n in (("doc", "doc_id"), ("class_id", "class_id"))])
 
 
-def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest doc_id, and of equal ids the smallest text hash."""
-    _, texts = classes(docs, threshold, size, bands, rows)
+    _, texts = classes(docs, threshold, size, bands, rows, group_shingles)
     heads = texts.select("head").distinct().select(F.col("head.doc").alias("__doc"), F.col("head.tkey").alias("__tkey"))
     rows_ = docs.withColumn("__doc", F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST))).withColumn("__tkey", F.xxhash64(_common.text_of(docs)))
     kept = rows_.join(heads, ["__doc", "__tkey"], "left_semi")
