@@ -5,13 +5,15 @@ score over hashed word and word-beginning features, and the document's score is
 1 - prod(1 - p) of its sentences. The weights maximise the likelihood of the document labels, so
 sentences get scores though no sentence was ever labelled, and the scores locate what offends.
 
-The model is fitted on the driver from a sample of labelled documents, bounded in rows
-(``SAMPLE_ROWS``) and text (``SAMPLE_CHARS``) and chosen by hash. Scoring runs over whole texts.
+The model is fitted on the driver from a sample of labelled documents, bounded in rows and
+characters by parameters of ``train`` and chosen by hash. Scoring runs over whole texts.
 
 Edge cases: null and empty texts, and texts without letters or digits, have score 0; documents
 without a label are scored like others; labels that are null are not used; with no labelled
 document of either kind every score is 0; repeated rows are scored each; an empty table gives an
-empty result. Extra columns are left out unless named in ``keep``.
+empty result; a text of any length is scored whole, in some 40 times its bytes of memory; a
+document that ties with the threshold is toxic; a doc_id with labels of both kinds is toxic. Extra
+columns are left out unless named in ``keep``, which may not name an output column.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from tidemark.llm import _common, _words
 
 U = _words.U
 SAMPLE_ROWS = 6000
-SAMPLE_CHARS = 40_000_000
+SAMPLE_CHARS = 20_000_000
 FEATURE_BITS = 18
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
@@ -62,8 +64,8 @@ class Bag:
         k, s, t = (np.cumsum([0, *n]) for n in zip(*[(len(p.kind), len(p.text), p.texts) for p in parts], strict=True))
         first = np.zeros(len(kind), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
-        shifted = lambda name, by: np.concatenate([getattr(p, name) + d for p, d in zip(parts, by, strict=False)])
-        return cls(code[shifted("token", k)], shifted("sentence", s), shifted("text", t), shifted("start", 0 * k), shifted("end", 0 * k), kind, np.concatenate([p.features for p in parts])[first], int(t[-1]))
+        shifted = lambda name, by: np.concatenate([(getattr(p, name) + d).astype(getattr(p, name).dtype) for p, d in zip(parts, by, strict=False)])
+        return cls(code.astype(np.int32)[shifted("token", k)], shifted("sentence", s), shifted("text", t), shifted("start", 0 * k), shifted("end", 0 * k), kind, np.concatenate([p.features for p in parts])[first], int(t[-1]))
 
 
 def bag(data: np.ndarray, offsets: np.ndarray) -> Bag:
@@ -83,7 +85,8 @@ def bag(data: np.ndarray, offsets: np.ndarray) -> Bag:
     new[1:] = (text[1:] != text[:-1]) | (before[1:] != before[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(text)) - 1 if len(first) else first
-    return Bag(number, np.cumsum(new) - 1, text[first], w.start[first], w.end[last], np.asarray(kinds, U), features, len(offsets) - 1)
+    sentence = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return Bag(number.astype(np.int32), sentence, text[first].astype(np.int32), w.start[first], w.end[last], np.asarray(kinds, U), features.astype(np.int32), len(offsets) - 1)
 
 
 def _chance(z: np.ndarray) -> np.ndarray:
@@ -98,7 +101,7 @@ class Model:
     def sentences(self, b: Bag) -> np.ndarray:
         """Log-odds of every sentence."""
         kind = self.weights[b.features].mean(1)
-        return self.bias + np.bincount(b.sentence, kind[b.token], len(b.text))
+        return self.bias + np.bincount(b.sentence, kind.astype(np.float32)[b.token], len(b.text))
 
     @staticmethod
     def documents(b: Bag, z: np.ndarray) -> np.ndarray:
@@ -109,14 +112,16 @@ class Model:
 def _telling(b: Bag, y: np.ndarray, least: float = 4.0, documents: int = 3) -> np.ndarray:
     """Features of at least so many documents whose share of toxic ones is so many standard errors off."""
     size = 1 << FEATURE_BITS
-    here = pd.unique(b.text[b.sentence] * len(b.features) + b.token)
-    text, kind = np.divmod(here, max(1, len(b.features)))
     n, bad = np.zeros(size), np.zeros(size)
-    for i, column in enumerate(b.features.T):
-        own = column[kind] != b.features[kind, 0] if i else slice(None)  # short words have one feature only
-        pair = pd.unique(text[own] * size + column[kind][own])
-        n += np.bincount(pair % size, minlength=size)
-        bad += np.bincount(pair % size, y[pair // size], size)
+    owner = b.text[b.sentence]
+    for low in range(0, b.texts, 500):
+        part = slice(*np.searchsorted(owner, [low, low + 500]))
+        text, kind = np.divmod(pd.unique(owner[part].astype(np.int64) * len(b.features) + b.token[part]), max(1, len(b.features)))
+        for i, column in enumerate(b.features.T):
+            own = column[kind] != b.features[kind, 0] if i else slice(None)  # short words have one feature only
+            pair = pd.unique(text[own] * size + column[kind][own])
+            n += np.bincount(pair % size, minlength=size)
+            bad += np.bincount(pair % size, y[pair // size], size)
     share = y.mean()
     return (n >= documents) & (np.abs(bad - n * share) >= least * np.sqrt(np.maximum(n, 1) * share * (1 - share)))
 
@@ -136,7 +141,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, rate: float
         # d loss / d sum of softplus, spread over each text's sentences
         outer = 1 - y / p
         gz = outer[b.text] * _chance(z) / b.texts
-        g_kind = np.bincount(b.token, gz[b.sentence], len(b.features)) / b.features.shape[1]
+        g_kind = np.bincount(b.token, gz.astype(np.float32)[b.sentence], len(b.features)) / b.features.shape[1]
         g = np.bincount(b.features.ravel(), np.repeat(g_kind, b.features.shape[1]), len(model.weights))
         g = np.append(np.where(used, g + decay * model.weights, 0.0), gz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -150,17 +155,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on a bounded sample of the labelled documents that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on a sample of the labelled documents that are not held out, bounded in rows and characters.
+
+    Rows that are equal in doc_id and text count once, and texts of over a sixteenth of
+    ``sample_chars`` are not fitted on (they are scored like others), so that neither a repeated
+    doc_id nor a giant text breaks the bounds.
+    """
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    few = F.broadcast(_common.hash_sample(known, F.col("doc_id"), SAMPLE_ROWS))  # bounded rows of two numbers
-    hashed = docs.select("doc_id", "text").join(few, "doc_id")
-    rows, chars = hashed.agg(F.count("*"), F.sum(F.length("text"))).first()
+    few = F.broadcast(_common.hash_sample(known, F.col("doc_id"), sample_rows))  # bounded rows of two numbers
+    hashed = docs.select("doc_id", _common.text_of(docs).alias("text")).where(F.length("text") <= sample_chars // 16).join(few, "doc_id")
+    rows, chars, ids = hashed.agg(F.count("*"), F.sum(F.length("text")), F.count_distinct("doc_id")).first()
     if not rows:
         return fit([], np.zeros(0))
-    if (chars or 0) > SAMPLE_CHARS:
-        hashed = _common.hash_sample(hashed, F.xxhash64("doc_id", F.lit(7)), max(1, int(rows * SAMPLE_CHARS / chars)))
-    got = hashed.select(_common.text_of(hashed).alias("text"), "toxic").toPandas().sort_values(["text", "toxic"])
+    if ids < rows:
+        hashed = hashed.dropDuplicates(["doc_id", "text"])
+    share = min(sample_rows / rows, sample_chars / max(1, chars))
+    if share < 1:
+        hashed = _common.hash_sample(hashed, F.xxhash64("doc_id", "text", F.lit(7)), max(1, int(rows * share)))
+    got = hashed.select("text", "toxic").toPandas().sort_values(["text", "toxic"])
     return fit(got["text"].tolist(), (got["toxic"] > 0).to_numpy())
 
 
