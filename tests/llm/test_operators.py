@@ -459,6 +459,29 @@ def test_packing_constraints():
             assert n[bins == b].sum() <= 100 and (bins == b).sum() <= 5 and (n[bins == b].astype(float) ** 2).sum() <= 14000
 
 
+def test_packing_under_limits(docs, tokenizer):
+    """Each limit is kept, and each binds somewhere."""
+    bins = collections.defaultdict(list)
+    got = packing.packed_documents(docs, tokenizer, 1024, max_docs=6, max_cost=1024.0**2 / 2, rule="norm").collect()
+    for r in got:
+        bins[r.sequence_id].append(r.length)
+    assert all(len(x) <= 6 and sum(x) <= 1024 and sum(n * n for n in x) <= 1024**2 / 2 for x in bins.values())
+    assert any(len(x) == 6 for x in bins.values()) and any(sum(x) > 1000 for x in bins.values()) and any(sum(n * n for n in x) > 1024**2 / 2 - 5000 for x in bins.values())
+    plain = packing.packed_documents(docs, tokenizer, 1024)
+    assert sum(r.length for r in got) == plain.agg(F.sum("length")).first()[0] and len(bins) > plain.select("sequence_id").distinct().count()
+
+
+def test_packing_parts_repeated_rows(spark, tokenizer):
+    """Copies of one row, without an id, go to many groups; a long text's full pieces have sequences of their own."""
+    df = spark.createDataFrame([(None, "same words again", "clash")] * 4000 + [(1, "word " * 3000, "clash")], "doc_id long, text string, offset string")
+    pieces = packing.tokenised(df, tokenizer, 64)
+    got = packing.pack(pieces, 8, 64).collect()
+    groups = collections.Counter(r.sequence_id >> 32 for r in got if r.doc_id is None)
+    assert len(groups) == 8 and max(groups.values()) < 1000 and sum(groups.values()) == 4000
+    full = [r.sequence_id for r in got if r.length == 64]
+    assert len(full) == 3001 // 64 and len(set(full)) == len(full) and all(r.offset == 0 for r in got if r.length == 64)
+
+
 def test_packing_odd(odd, none, tokenizer):
     got = packing.packed_documents(odd, tokenizer).collect()
     assert sum(r.length == 1 for r in got if r.doc_id in (2, 3, 4)) == 3

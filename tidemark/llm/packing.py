@@ -7,16 +7,22 @@ packed by decreasing length: every open bin that has room in all three dimension
 the best one takes the piece. A group leaves about one part-filled bin, so the loss is about one
 bin in thousands, whatever the number of groups.
 
-Edge cases: null and empty texts have the end id alone; repeated rows are packed each on its own;
-an empty table gives an empty result; extra columns are left out unless named in ``keep``.
+Without limits of their own, documents and attention cost never bind before the tokens do (a
+sequence of 4096 tokens holds at most 4096 documents and costs at most 4096**2); ``max_docs`` and
+``max_cost`` make them bind.
+
+Edge cases: null and empty texts have the end id alone; a very long text is cut into pieces, which
+go to different groups; ties in length go by the other columns; repeated rows are packed each on
+its own; an empty table gives an empty result; extra columns are left out unless named in ``keep``.
 """
 
 from __future__ import annotations
 
+import math
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -31,7 +37,7 @@ END_ID = 1
 CACHE_WORDS = 300_000
 SLICE_BYTES = 4 << 20  # larger slices repeat fewer words
 GROUP_PIECES = 20_000
-_LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+BYTES_PER_TOKEN = 2  # at least, of usual texts; only the number of groups follows from it
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,10 +48,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordIds:
-    """Ids of white-space separated words, remembered in a bounded cache.
+    """Ids of white-space separated words, remembered in bounded caches.
 
     The tokenizer drops white space and never merges over it, so a text's ids are those of its
-    words in turn. Plain Latin words go straight to the model; all others take the whole tokenizer.
+    words in turn; it has no capital letters. Plain Latin words go straight to the model, a comma
+    or full stop behind them counts as a word; all others take the whole tokenizer, in batches.
     """
 
     def __init__(self, path: str):
@@ -56,32 +63,35 @@ class WordIds:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.words: dict[bytes, list[int]] = {}
-        self.stems: dict[str, list[int]] = {}
-        self.marks = {m: self._encode(m) for m in ",."} | {"": []}
-
-    def _encode(self, word: str) -> list[int]:
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def __call__(self, raw: bytes) -> list[int]:
-        ids = self.words.get(raw)
-        if ids is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            ids = self.words[raw] = self._of(raw.decode())
-        return ids
-
-    def _of(self, word: str) -> list[int]:
-        m = _LATIN.fullmatch(word)
-        if m is None:
-            return self._encode(word)
-        stem = m[1].lower()
-        ids = self.stems.get(stem)
-        if ids is None:
-            if len(self.stems) >= CACHE_WORDS:
-                self.stems.clear()
-            raw = stem if stem.isascii() else stem.encode().decode("latin1").translate(self.letters)
-            ids = self.stems[stem] = [t.id for t in self.model.tokenize(raw)]
-        return ids + self.marks[m[2]]
+        self.stems: dict[bytes, list[int]] = {}
+
+    def of_stems(self, stems: list[bytes]) -> list[list[int]]:
+        """Ids of words of Latin letters, in small letters."""
+        known, model = self.stems, self.model
+        if len(known) + len(stems) > CACHE_WORDS:
+            known.clear()
+        out = [known.get(x) for x in stems]
+        for i, ids in enumerate(out):
+            if ids is None:
+                x = stems[i]
+                word = x.decode() if x.isascii() else x.decode("latin1").translate(self.letters)
+                out[i] = known[x] = [t.id for t in model.tokenize(word)]
+        return out
+
+    def of_words(self, words: list[bytes]) -> list[list[int]]:
+        known = self.words
+        if len(known) + len(words) > CACHE_WORDS:
+            known.clear()
+        new = [x for x in words if x not in known]
+        for x, e in zip(new, self.tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False), strict=True):
+            known[x] = e.ids
+        return [known[x] for x in words]
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for each worker process: tasks that follow each other use its caches."""
+    return WordIds(path)
 
 
 def _ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -91,23 +101,71 @@ def _ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
     return flat[at + np.repeat(start, length)]
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
+# UTF-8 of the letters from À to ÿ is the byte C3 and one of these; capitals lie 32 below.
+_AFTER_C3 = np.zeros(256, bool)
+_AFTER_C3[[*range(0x80, 0xC0)]] = True
+_AFTER_C3[[0x97, 0xB7]] = False
+_MARK = np.zeros(256, bool)
+_MARK[[ord(","), ord(".")]] = True
+
+
+def _small(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with Latin letters in small, and which bytes belong to such letters."""
+    lead = np.zeros(len(data), bool)
+    lead[:-1] = (data[:-1] == 0xC3) & _AFTER_C3[data[1:]]
+    at = np.flatnonzero(lead) + 1
+    letter, small = _LETTER[data] | lead, _SMALL[data]
+    letter[at] = True
+    small[at] += np.uint8(32) * (data[at] < 0x9F)
+    return small, letter
+
+
+def _units(data: np.ndarray, small: np.ndarray, letter: np.ndarray, w: _words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, whether it is of Latin letters, two hashes and word of each unit: a Latin word, the mark behind it, or any other word."""
+    mark = _MARK[data[w.end - 1]] & (w.end - w.start > 1)
+    stop = w.end - mark
+    letters = np.concatenate([[0], np.cumsum(letter)])
+    plain = letters[stop] - letters[w.start] == stop - w.start
+    mark &= plain
+    stop = np.where(plain, stop, w.end)
+    word = np.repeat(np.arange(len(mark)), 1 + mark)
+    second = np.zeros(len(word), bool)
+    second[1:] = word[1:] == word[:-1]
+    start, end = np.where(second, stop[word], w.start[word]), np.where(second, w.end[word], stop[word])
+    plain = plain[word] & ~second
+    hashes = []
+    for seed in (2, 3):
+        low, exact = (_words.Ranges.of(_words.codes(seed)[x], _words.WORD_BASE) for x in (small, data))
+        hashes.append(_words.mixed(np.where(plain, low.hashes(start, end), exact.hashes(start, end)) + plain, seed))
+    return start, end, plain, np.stack(hashes), word
+
+
 def token_ids(ids_of: WordIds, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts of a slice, each text closed by the end id, and where each text begins."""
     w = _words.words(data, offsets)
-    number, kinds = pd.factorize(w.hashes(2))
+    small, letter = _small(data)
+    start, end, plain, (one, two), word = _units(data, small, letter, w)
+    number, kinds = pd.factorize(one)
     first = np.zeros(len(kinds), np.int64)
     first[number[::-1]] = np.arange(len(number))[::-1]
-    # words with one hash must have one length and one second hash; else each is taken by itself
-    check = w.hashes(3)
-    if len(number) and (check != check[first[number]]).any():
-        number, first = np.arange(len(w.start)), np.arange(len(w.start))
-    raw, s, e = data.tobytes(), w.start[first].tolist(), w.end[first].tolist()
-    lists = [ids_of(raw[a:b]) for a, b in zip(s, e, strict=True)]
+    # units with one hash must have one second hash; else each is taken by itself
+    if len(number) and (two != two[first[number]]).any():
+        number, first = np.arange(len(start)), np.arange(len(start))
+    raw, low = data.tobytes(), small.tobytes()
+    s, e, is_plain = start[first], end[first], plain[first]
+    lists: list[list[int]] = [[]] * len(first)
+    for at, text, of in ((np.flatnonzero(is_plain), low, ids_of.of_stems), (np.flatnonzero(~is_plain), raw, ids_of.of_words)):
+        for i, ids in zip(at.tolist(), of([text[a:b] for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)]), strict=True):
+            lists[i] = ids
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
     begin = np.cumsum(sizes) - sizes
-    # the end id of each text is one more kind of word
-    count = w.count
+    # the end id of each text is one more kind of unit
+    count = np.bincount(w.text_index()[word], minlength=len(offsets) - 1) if len(word) else np.zeros(len(offsets) - 1, np.int64)
     place = np.arange(len(number)) + np.repeat(np.arange(len(count)), count)
     order = np.full(len(number) + len(count), len(sizes))
     order[place] = number
@@ -124,7 +182,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, keep:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer_path)
+        ids_of = word_ids(tokenizer_path)
         for batch in batches:
             for a, b, data, offsets in _words.slices(batch.column("__text"), SLICE_BYTES):
                 ids, begin = token_ids(ids_of, data, offsets)
@@ -195,29 +253,39 @@ def best_fit(length: np.ndarray, limits: tuple[float, float, float], rule: str =
 
 
 def pack(pieces: DataFrame, n_groups: int, capacity: int = 4096, max_docs: int | None = None, max_cost: float | None = None, rule: str = "dot") -> DataFrame:
-    """Add sequence_id and offset to ``pieces``; ``n_groups`` groups are packed apart.
+    """Add sequence_id and offset to ``pieces``, in place of such columns; ``n_groups`` groups are packed apart.
 
-    Sequence ids are the group's number times 2**32 plus the bin's, so reruns agree.
+    A piece that fills a sequence by its tokens has one of its own. Rows are dealt into groups by
+    their content and their place in the input, so that repeated rows part. Sequence ids are the
+    group's number times 2**32 plus the bin's; reruns over the same files agree.
     """
     limits = (capacity, max_docs or capacity, max_cost or float(capacity) ** 2)
-    if any(f.name in ("group", "sequence_id", "offset") for f in pieces.schema):
-        raise ValueError("pieces must not have columns group, sequence_id or offset")
+    pieces = pieces.drop("sequence_id", "offset")
     order = [f.name for f in pieces.schema]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
     def run(group: pa.Table) -> pa.Table:
-        g = group.column("group")[0].as_py()
+        g = group.column("__group")[0].as_py()
         size = group.column("length").to_numpy()
         keys = [(c, "ascending") for c in order if not pa.types.is_nested(group.schema.field(c).type)]
         group = group.append_column("__less", pa.array(-size)).sort_by([("__less", "ascending"), *keys])
-        bins, offset, _ = best_fit(group.column("length").to_numpy(), limits, rule)
+        size = group.column("length").to_numpy()
+        full = int((size >= capacity).sum())  # the first, as sizes fall
+        bins, offset, _ = best_fit(size[full:], limits, rule)
+        bins, offset = np.concatenate([np.arange(full), bins + full]), np.concatenate([np.zeros(full, np.int64), offset])
         return group.select(order).append_column("sequence_id", pa.array(bins + (g << 32))).append_column("offset", pa.array(offset))
 
-    key = F.pmod(F.xxhash64(*[F.col(c) for c in order if c != "ids"]), F.lit(n_groups))
-    return pieces.withColumn("group", key).groupBy("group").applyInArrow(run, f"{fields}, sequence_id long, offset long")
+    place = F.monotonically_increasing_id()
+    key = F.pmod(F.xxhash64(*[F.col(c) for c in order if c != "ids"], place), F.lit(n_groups))
+    return pieces.withColumn("__group", key).groupBy("__group").applyInArrow(run, f"{fields}, sequence_id long, offset long")
+
 
+def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, keep: tuple[str, ...] = ("doc_id",), max_docs: int | None = None, max_cost: float | None = None, rule: str = "dot") -> DataFrame:
+    """Tokenise and pack whole ``docs``; pieces are cut so short that one alone keeps ``max_cost``.
 
-def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Tokenise and pack whole ``docs``. The number of groups follows the number of rows."""
-    n = docs.count()
-    return pack(tokenised(docs, tokenizer_path, capacity, keep), max(1, round(n / GROUP_PIECES)), capacity)
+    The number of groups follows rows and text, so that long texts do not overfill groups.
+    """
+    longest = min(capacity, math.isqrt(int(max_cost))) if max_cost else capacity
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(1, round((n + size / (BYTES_PER_TOKEN * longest)) / GROUP_PIECES))
+    return pack(tokenised(docs, tokenizer_path, longest, keep), groups, capacity, max_docs, max_cost, rule)

@@ -66,6 +66,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), 4096)
 
 
+def packing_under_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with at most 16 pieces and half of the largest attention cost in a sequence: both bind, and so do the tokens."""
+    from tidemark.llm import packing
+
+    docs = _table(spark, sf_dir, "documents")
+    return packing.packed_documents(docs, tokenizer_path(), 4096, max_docs=16, max_cost=4096.0**2 / 2, rule="norm")
+
+
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by pseudonyms of the same format."""
     from tidemark.llm import pii
@@ -109,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ann_forest": op3_ann_forest,
     "op4_secret_scan": op4_secret_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "packing_under_limits": packing_under_limits,
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_fingerprints": op8_fingerprints,
