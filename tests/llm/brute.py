@@ -54,3 +54,21 @@ def classes(rows, threshold=0.8):
                 x, y = find(a), find(b)
                 head[max(x, y)] = min(x, y)
     return {d: find(d) for d in bags}
+
+
+def targets(sizes, weights, most=3):
+    """Each source's share of all words, in fractions: whoever is over ``most`` times its size gives the excess back to be shared by weight."""
+    from fractions import Fraction
+
+    got = [Fraction(0)] * len(sizes)
+    excess = Fraction(sum(sizes))
+    while excess:
+        open_ = [i for i in range(len(sizes)) if got[i] < most * sizes[i]]
+        unit = excess / sum(weights[i] for i in open_)
+        excess = Fraction(0)
+        for i in open_:
+            got[i] += unit * weights[i]
+            if got[i] > most * sizes[i]:
+                excess += got[i] - most * sizes[i]
+                got[i] = Fraction(most * sizes[i])
+    return [float(x) for x in got]

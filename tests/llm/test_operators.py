@@ -366,10 +366,38 @@ def test_licences_odd(odd, none):
     assert licences.scan(odd).where("size(licences) = 0").count() == 10 and licences.scan(none).count() == 0
 
 
-def test_targets():
-    got = mixing.targets([10, 100, 100], [1, 2, 3])
-    assert got[0] == 30 and abs(sum(got) - 210) < 1e-9 and abs(got[1] - 72) < 1e-9 and abs(got[2] - 108) < 1e-9
-    assert mixing.targets([], []) == [] and mixing.targets([0, 0], [1, 2]) == [0, 0]
+@pytest.mark.parametrize("sizes", [[10, 100, 100], [1, 1, 1000, 5, 0, 70, 300, 2], [7], [0, 0]])
+def test_targets(spark, sizes):
+    """Targets of whole sources against shares in fractions; sources in the order of code points, null last."""
+    names = ["B", "a", "ä", "😀", "zz", "z", "Ab", None][: len(sizes)]
+    order = sorted(range(len(names)), key=lambda i: (names[i] is None, [ord(c) for c in names[i] or ""]))
+    df = frame(spark, [(i, "w " * n, s) for i, (n, s) in enumerate(zip(sizes, names, strict=True))])
+    got = {r.doc_id: r.target for r in mixing.mix_report(df).collect()}
+    want = brute.targets([sizes[i] for i in order], [k % 3 + 1 for k in range(len(order))])
+    assert all(abs(got[i] - w) < 1e-9 * max(1, w) for i, w in zip(order, want, strict=True))
+
+
+def test_hypergeometric_of_large_counts():
+    """Mean and variance beyond numpy's limit, and small draws out of many."""
+    rng = np.random.default_rng(1)
+    good, bad, n = 3_000_000_000, 2_000_000_000, 1_000_000_000
+    x = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(60)])
+    p = good / (good + bad)
+    sd = (n * p * (1 - p) * (good + bad - n) / (good + bad - 1)) ** 0.5
+    assert abs(x.mean() - n * p) < 5 * sd / 60**0.5 and 0.6 < x.std() / sd < 1.4
+    few = np.bincount([mixing.hypergeometric(rng, 10**9, 10**9, 3) for _ in range(4000)], minlength=4) / 4000
+    assert np.abs(few - [1 / 8, 3 / 8, 3 / 8, 1 / 8]).max() < 0.04
+    assert mixing.hypergeometric(rng, 2 * 10**9, 5, 2 * 10**9 + 5) == 2 * 10**9 and mixing.hypergeometric(rng, 0, 2 * 10**9, 7) == 0
+
+
+def test_split_tree_of_five_thousand_million_blocks():
+    quota = np.array([3_000_000_000, 0, 1_999_999_000, 1000])
+    shards = 5_000_000_000 // 256
+    got = list(mixing.split_trees(shards // 2, shards // 2 + 3, shards, quota))
+    assert [g[0] for g in got] == [shards // 2 + i for i in range(3)] and all(255 <= g[3].sum() <= 257 for g in got)
+    end = {s: b + o for s, b, o in zip(*got[0][1:], strict=True)}
+    assert all(end.get(s, b) == b for s, b in zip(got[1][1], got[1][2], strict=True))
+    assert abs(got[0][2][0] - 1.5e9) < 200_000
 
 
 def test_split_tree():
@@ -395,7 +423,7 @@ def test_mixing(docs, rows, spark):
         target[s] = r.target
         places += [tuple(p) for p in r.places or []]
     names = sorted(size)
-    want = mixing.targets([size[s] for s in names], [i % 3 + 1 for i in range(len(names))])
+    want = brute.targets([size[s] for s in names], [i % 3 + 1 for i in range(len(names))])
     assert all(abs(target[s] - w) < 1e-6 for s, w in zip(names, want, strict=True)) and len(places) == len(set(places))
     off = sum(abs(taken[s] - target[s]) for s in names) / sum(size.values())
     assert off < 0.1
@@ -411,8 +439,33 @@ def test_mixing_past_a_long_document(spark, seed):
     assert sum(r.taken for r in got if r.doc_id <= 10) == 40_000
 
 
+@pytest.mark.parametrize("per_shard", [7, 256])
+def test_mixing_shards(docs, per_shard):
+    """Each shard holds its quota, no place is given twice, and every copy has one."""
+    rows = mixing.mixed(docs).cache()
+    got = mixing.dealt(rows, per_shard).select("doc_id", "copy", "source_no", "shard", "place").collect()
+    total = rows.agg(F.sum("copies")).first()[0]
+    shards = -(-total // per_shard)
+    quota = {r.source_no: r.n for r in rows.groupBy("source_no").agg(F.sum("copies").alias("n")).collect()}
+    have = np.array([quota.get(i, 0) for i in range(max(quota) + 1)])
+    assert len(got) == total == len({(r.doc_id, r.copy) for r in got})
+    for s in range(shards):
+        mine = [r for r in got if r.shard == s]
+        assert sorted(r.place for r in mine) == list(range(len(mine)))
+        assert (np.bincount([r.source_no for r in mine], minlength=len(have)) == mixing.split_tree(s, shards, have)[1]).all()
+
+
 def test_mixing_odd(odd, none):
+    got = {(r.doc_id, r.size): r for r in mixing.mix_report(odd).collect()}
     assert mixing.mix_report(odd).count() == 10 and mixing.mix_report(none).count() == 0
+    # sources s (17 words), t (60000) and null (60004) have 1, 2 and 3 sixths of 120021 words, s no more than 51
+    left = 120021 - 51
+    assert got[1, 6].source_size == 17 and abs(got[1, 6].target - 51) < 1e-9
+    assert abs(got[5, 60000].target - left * 2 / 5) < 1e-6 and abs(got[6, 60001].target - left * 3 / 5) < 1e-6
+    assert all(r.taken == r.copies * r.size and r.copies <= 3 for r in got.values())
+    same = mixing.mixed_documents(odd)
+    assert same.columns == odd.columns and mixing.mixed_documents(none).count() == 0
+    assert same.count() == sum(r.copies for r in mixing.mix_report(odd).collect())
 
 
 @pytest.fixture(scope="module")
