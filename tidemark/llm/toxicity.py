@@ -32,6 +32,7 @@ from tidemark.llm import _common, _words
 U = _words.U
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 20_000_000
+FIT_BYTES = 1 << 19  # text that is cut into tokens at once when fitting
 FEATURE_BITS = 18
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
@@ -68,6 +69,14 @@ class Bag:
         return cls(code.astype(np.int32)[shifted("token", k)], shifted("sentence", s), shifted("text", t), shifted("start", 0 * k), shifted("end", 0 * k), kind, np.concatenate([p.features for p in parts])[first], int(t[-1]))
 
 
+    def only(self, used: np.ndarray) -> Bag:
+        """The bag without tokens none of whose features is ``used``; sentences stay."""
+        telling = used[self.features].any(1)
+        code = np.cumsum(telling, dtype=np.int32) - np.int32(1)
+        keep = telling[self.token]
+        return Bag(code[self.token[keep]], self.sentence[keep], self.text, self.start, self.end, self.kind[telling], self.features[telling], self.texts)
+
+
 def bag(data: np.ndarray, offsets: np.ndarray) -> Bag:
     w = _words.words(data, offsets, _SPACE)
     ranges = _words.Ranges.of(_words.codes(11, lower=True)[data], 0x5851F42D4C957F2D)
@@ -109,31 +118,35 @@ class Model:
         return 1 - np.exp(-np.bincount(b.text, np.logaddexp(0, z), b.texts))
 
 
-def _telling(b: Bag, y: np.ndarray, least: float = 4.0, documents: int = 3) -> np.ndarray:
+def _telling(column: pa.Array, y: np.ndarray, least: float = 4.0, documents: int = 3) -> np.ndarray:
     """Features of at least so many documents whose share of toxic ones is so many standard errors off."""
     size = 1 << FEATURE_BITS
     n, bad = np.zeros(size), np.zeros(size)
-    owner = b.text[b.sentence]
-    for low in range(0, b.texts, 500):
-        part = slice(*np.searchsorted(owner, [low, low + 500]))
-        text, kind = np.divmod(pd.unique(owner[part].astype(np.int64) * len(b.features) + b.token[part]), max(1, len(b.features)))
-        for i, column in enumerate(b.features.T):
-            own = column[kind] != b.features[kind, 0] if i else slice(None)  # short words have one feature only
-            pair = pd.unique(text[own] * size + column[kind][own])
+    for first, last, data, offsets in _words.slices(column, FIT_BYTES):
+        b, own_y = bag(data, offsets), y[first:last]
+        text, kind = np.divmod(pd.unique(b.text[b.sentence].astype(np.int64) * len(b.features) + b.token), max(1, len(b.features)))
+        for i, feature in enumerate(b.features.T):
+            own = feature[kind] != b.features[kind, 0] if i else slice(None)  # short words have one feature only
+            pair = pd.unique(text[own] * size + feature[kind][own])
             n += np.bincount(pair % size, minlength=size)
-            bad += np.bincount(pair % size, y[pair // size], size)
+            bad += np.bincount(pair % size, own_y[pair // size], size)
     share = y.mean()
     return (n >= documents) & (np.abs(bad - n * share) >= least * np.sqrt(np.maximum(n, 1) * share * (1 - share)))
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, rate: float = 0.2, decay: float = 1e-6) -> Model:
-    """Adam on the noisy-or log-likelihood of the document labels."""
+def fit(texts: list[str] | pa.ChunkedArray, labels: np.ndarray, rounds: int = ROUNDS, rate: float = 0.2, decay: float = 1e-6) -> Model:
+    """Adam on the noisy-or log-likelihood of the document labels.
+
+    Texts are cut into tokens slice by slice, twice; only tokens with a telling feature are kept.
+    """
     model = Model(np.zeros(1 << FEATURE_BITS), -7.0)
     if not len(texts) or not 0 < labels.mean() < 1:
         return Model(model.weights, -np.inf)
-    b = Bag.joined([bag(data, offsets) for _, _, data, offsets in _words.slices(pa.array(texts))])
+    column = texts if isinstance(texts, pa.ChunkedArray) else pa.array(texts)
     y = labels.astype(float)
-    used = _telling(b, y)
+    used = _telling(column, y)
+    b = Bag.joined([bag(data, offsets).only(used) for _, _, data, offsets in _words.slices(column, FIT_BYTES)])
+    del column, texts
     m = v = np.zeros(len(model.weights) + 1)
     for step in range(1, rounds + 1):
         z = model.sentences(b)
@@ -173,8 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     share = min(sample_rows / rows, sample_chars / max(1, chars))
     if share < 1:
         hashed = _common.hash_sample(hashed, F.xxhash64("doc_id", "text", F.lit(7)), max(1, int(rows * share)))
-    got = hashed.select("text", "toxic").toPandas().sort_values(["text", "toxic"])
-    return fit(got["text"].tolist(), (got["toxic"] > 0).to_numpy())
+    got = hashed.select("text", (F.col("toxic") > 0).alias("toxic")).toArrow().sort_by([("text", "ascending"), ("toxic", "ascending")])
+    return fit(got.column("text"), got.column("toxic").to_numpy())
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
