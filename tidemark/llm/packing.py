@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import _words
 
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 SLICE_BYTES = 4 << 20  # larger slices repeat fewer words
 GROUP_PIECES = 20_000
 BYTES_PER_TOKEN = 2  # at least, of usual texts; only the number of groups follows from it

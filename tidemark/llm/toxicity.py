@@ -33,6 +33,7 @@ U = _words.U
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 20_000_000
 FIT_BYTES = 1 << 19  # text that is cut into tokens at once when fitting
+SCORE_BYTES = 1 << 20
 FEATURE_BITS = 18
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
@@ -200,7 +201,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for a, b, data, offsets in _words.slices(batch.column("__text")):
+            for a, b, data, offsets in _words.slices(batch.column("__text"), SCORE_BYTES):
                 x = bag(data, offsets)
                 z = m.sentences(x)
                 p = m.documents(x, z)
