@@ -65,3 +65,10 @@ def test_time_filter_reaches_the_scan(spark, tmp_path):
     df = series.scan(spark.read.parquet(str(tmp_path / "p")), 10, 20).select("t", "v")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(t,10)" in plan and "LessThanOrEqual(t,20)" in plan and "seq" not in plan.split("ReadSchema")[1]
+
+
+def test_filled_rounds_its_bounds(spark):
+    b = series.SeriesQuery(linear(spark)).group_by(10).aggregate("count").execute().where("bucket != 40")
+    got = {r.bucket: r.value for r in series.filled(b, 10, 33, 57).collect()}
+    assert got == {30: 10, 40: None, 50: 10}
+    assert [r.bucket for r in series.filled(b, 10, -15, 5).orderBy("bucket").collect()] == [-10, 0]

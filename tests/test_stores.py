@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys
@@ -72,8 +74,49 @@ def test_transactions(spark):
 
 
 def test_deadlock(spark):
-    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 6)], "waiter long, holder long")
-    assert sorted(r.txn_id for r in versions.deadlocked(e).collect()) == [1, 2, 3, 4]
+    """Cycles alone: not who waits behind one, between two, or in a long chain."""
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 6), (3, 7), (7, 8), (8, 9), (9, 8), (9, 10), (11, 11)], "waiter long, holder long")
+    assert sorted(r.txn_id for r in versions.deadlocked(e).collect()) == [1, 2, 3, 8, 9]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "waiter long, holder long")
+    assert versions.deadlocked(chain).count() == 0
+
+
+def test_commit_and_abort(spark):
+    v = spark.createDataFrame([("x", 1, 10.0, None, 1), ("y", 1, 11.0, None, 2), ("x", 2, 20.0, None, 3), ("z", 3, 5.0, 4, 4)], "key string, txn_id long, value double, commit_ts long, seq long")
+    t = versions.begun(spark.createDataFrame([(3, "committed", 0)], "txn_id long, status string, start_ts long"), spark.createDataFrame([(1, 5), (2, 6), (3, 7), (4, 8)], "txn_id long, start_ts long"))
+    assert sorted((r.txn_id, r.status, r.start_ts) for r in t.collect()) == [(1, "active", 5), (2, "active", 6), (3, "committed", 0), (4, "active", 8)]
+    v2, t2 = versions.settled(v, t, spark.createDataFrame([(1, 9), (2, None), (3, None)], "txn_id long, commit_ts long"))
+    assert sorted((r.key, r.txn_id, r.commit_ts) for r in v2.collect()) == [("x", 1, 9), ("y", 1, 9), ("z", 3, 4)]
+    assert {r.txn_id: r.status for r in t2.collect()} == {1: "committed", 2: "aborted", 3: "committed", 4: "active"}
+    assert versions.snapshot(v2, 9).count() == 3 and versions.snapshot(v2, 8).count() == 1
+
+
+def test_log_replay(spark):
+    whole = log(spark, [(b"a", 0, b"1", 1), (b"b", 0, b"2", 2), (b"a", 2, None, 3), (b"c", 0, b"3", 4)])
+    frames = keyvalue.framed(whole)
+    live = lambda f: {bytes(r.k) for r in keyvalue.live(keyvalue.intact(f)).collect()}
+    assert live(frames) == {b"b", b"c"}
+    assert live(frames.withColumn("payload", F.when(F.col("seq") == 3, F.lit(b"x")).otherwise(F.col("payload")))) == {b"a", b"b"}
+    assert live(frames.withColumn("crc", F.when(F.col("seq") < 4, F.col("crc")))) == {b"b"} and live(frames.where("false")) == set()
+
+
+def test_bloom(spark):
+    put = spark.range(0, 2000).select(F.concat(F.lit("k"), "id").alias("k"))
+    bits, hashes = (int(x) for x in spark.range(1).select(*keys.bloom_size(F.lit(2000), 0.01)).first())
+    f = keys.bloom_build(put, "k", bits, hashes)
+    probes = spark.range(0, 6000).select(F.concat(F.lit("k"), "id").alias("k"))
+    got = {r.k: r.maybe for r in keys.bloom_contains(probes, "k", f, bits, hashes).collect()}
+    assert len(got) == 6000 and all(got[f"k{i}"] for i in range(2000)) and sum(got[f"k{i}"] for i in range(2000, 6000)) < 80
+
+
+def test_long_intervals(spark):
+    """Intervals of very different lengths meet once each, by brute force."""
+    rng = random.Random(2)
+    some = lambda n: [(a := rng.randrange(-5000, 5000), a + int(10 ** rng.uniform(0, 6)), i) for i in range(n)]
+    l, r = some(60), some(50)
+    got = intervals.interval_join(spark.createDataFrame(l, "start_time long, end_time long, id long"), spark.createDataFrame(r, "q_start long, q_end long, q long"), 10)
+    want = sorted((i, j) for a, b, i in l for c, d, j in r if a <= d and b >= c)
+    assert sorted((x.id, x.q) for x in got.collect()) == want
 
 
 def test_replay_covers_the_committed_log(spark, tmp_path):

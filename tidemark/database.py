@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidemark.operators import keyvalue, models, series
 
@@ -20,12 +18,16 @@ class Database:
     """open / put / put_batch / put_numpy / get / scan / aggregate / downsample / flush / stats / close, and blobs.
 
     Every put is an atomic append of Parquet files, visible at once; write in batches. One writer
-    at a time; any number of readers. Rows of one batch are ordered by their place in it, and
-    batches by the time they were put.
+    at a time; any number of readers. Rows are numbered on from the largest stored number, so a
+    later put is always the later one.
+
+    Blobs lie in numbered versions of one table. A compaction writes the next version; readers take
+    the newest that is complete, so a crash in between leaves the old one in force.
     """
 
     def __init__(self, spark: SparkSession, path: str, name: str = "default"):
         self.spark, self.path, self.series_name = spark, path.rstrip("/"), name
+        self._last: dict[str, int] = {}  # largest number stored in each table, once asked for
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, name: str = "default") -> Database:
@@ -37,14 +39,28 @@ class Database:
     def __exit__(self, *error: object) -> None:
         self.close()
 
+    def _folder(self, path: str):
+        """Hadoop's file system and path of ``path``."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), folder
+
     def _read(self, table: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
-        except AnalysisException:  # nothing was put yet
+        fs, folder = self._folder(f"{self.path}/{table}")
+        if not fs.exists(folder):  # nothing was put yet
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
+
+    def _next(self, table: str, rows: DataFrame) -> int:
+        """The number after the largest of ``rows``; later puts of this object go on from what they have given."""
+        if table not in self._last:
+            self._last[table] = rows.agg(F.max("seq")).first()[0] or 0
+        return self._last[table] + 1
 
-    def _seq(self) -> int:
-        return time.time_ns() // 1000 << 10
+    def _numbered(self, table: str, rows: DataFrame, count: int) -> list[int]:
+        base = self._next(table, rows)
+        self._last[table] = base + count - 1
+        return list(range(base, base + count))
 
     def points(self) -> DataFrame:
         return self._read("points", _POINTS).where(F.col("series") == self.series_name)
@@ -53,8 +69,9 @@ class Database:
         self.put_batch([(t, v)])
 
     def put_batch(self, rows: Iterable[tuple[int, float]]) -> None:
-        base = self._seq()
-        data = [(self.series_name, int(t), float(v), base + i) for i, (t, v) in enumerate(rows)]
+        rows = list(rows)
+        seq = self._numbered("points", self._read("points", _POINTS), len(rows))
+        data = [(self.series_name, int(t), float(v), n) for (t, v), n in zip(rows, seq, strict=True)]
         self.spark.createDataFrame(data, _POINTS).write.mode("append").parquet(f"{self.path}/points")
 
     def put_numpy(self, t: np.ndarray, v: np.ndarray) -> None:
@@ -63,8 +80,12 @@ class Database:
         self.put_batch(zip(t.tolist(), v.tolist(), strict=True))
 
     def put_frame(self, points: DataFrame) -> None:
-        """Append a DataFrame of t and v: the way in for large data. Points keep their order within partitions."""
-        base = self._seq()
+        """Append a DataFrame of t and v: the way in for large data. Points are ordered by partition and place in it.
+
+        A partition takes 2**33 numbers, so the numbers last for some 10**9 partitions.
+        """
+        base = self._next("points", self._read("points", _POINTS))
+        del self._last["points"]  # the next put asks the table
         rows = points.select(F.lit(self.series_name).alias("series"), F.col("t").cast("long"), F.col("v").cast("float"), (F.monotonically_increasing_id() + base).alias("seq"))
         rows.write.mode("append").parquet(f"{self.path}/points")
 
@@ -95,8 +116,14 @@ class Database:
         return self.spark.read.parquet(path)
 
     def stats(self) -> dict:
-        s = self.spark.read.parquet(f"{self.path}/segments")
-        return models.stats(s).first().asDict()
+        """Segments and their sizes, if models were fitted, and what is stored of points and blobs: rows, tables and bytes."""
+        fs, folder = self._folder(f"{self.path}/segments")
+        fitted = models.stats(self.spark.read.parquet(f"{self.path}/segments")).first().asDict() if fs.exists(folder) else {"total_segments": 0}
+        stored = {"points": self.points().count(), "blob_tables": len(self._versions())}
+        for table in ("points", "blobs"):
+            fs, folder = self._folder(f"{self.path}/{table}")
+            stored[f"{table}_bytes"] = fs.getContentSummary(folder).getLength() if fs.exists(folder) else 0
+        return fitted | stored
 
     def flush(self) -> None:
         """Nothing waits: a put is on storage when it returns."""
@@ -104,19 +131,31 @@ class Database:
     def close(self) -> None:
         self.flush()
 
+    def _versions(self) -> list[int]:
+        """Numbers of the complete blob tables, the one in force last."""
+        fs, folder = self._folder(f"{self.path}/blobs")
+        names = [x.getPath() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        whole = [p.getName() for p in names if fs.exists(self._folder(f"{p.toString()}/_SUCCESS")[1])]
+        return sorted(int(n[1:]) for n in whole if n[:1] == "v" and n[1:].isdigit())
+
+    def _table(self) -> str:
+        return f"blobs/v{max(self._versions(), default=0)}"
+
     def blobs(self) -> DataFrame:
-        return self._read("blobs", _BLOBS)
+        return self._read(self._table(), _BLOBS)
 
     def put_blob(self, key: bytes, value: bytes) -> None:
         self.put_blobs([(key, value)])
 
     def put_blobs(self, rows: Iterable[tuple[bytes, bytes]]) -> None:
-        base = self._seq()
-        df = self.spark.createDataFrame([(k, v, base + i) for i, (k, v) in enumerate(rows)], "k binary, v binary, seq long")
-        keyvalue.puts(df).write.mode("append").parquet(f"{self.path}/blobs")
+        rows = list(rows)
+        seq = self._numbered("blobs", self.blobs(), len(rows))
+        df = self.spark.createDataFrame([(k, v, n) for (k, v), n in zip(rows, seq, strict=True)], "k binary, v binary, seq long")
+        keyvalue.puts(df).write.mode("append").parquet(f"{self.path}/{self._table()}")
 
     def delete_blob(self, key: bytes) -> None:
-        keyvalue.deletes(self.spark.createDataFrame([(key, self._seq())], "k binary, seq long")).write.mode("append").parquet(f"{self.path}/blobs")
+        seq = self._numbered("blobs", self.blobs(), 1)[0]
+        keyvalue.deletes(self.spark.createDataFrame([(key, seq)], "k binary, seq long")).write.mode("append").parquet(f"{self.path}/{self._table()}")
 
     def get_blob(self, key: bytes) -> bytes | None:
         row = keyvalue.get(self.blobs(), key).select(keyvalue.decoded("kind", "payload").alias("v")).first()
@@ -128,8 +167,22 @@ class Database:
     def blob_len(self) -> int:
         return keyvalue.length(self.blobs()).first()[0]
 
-    def compact_blobs(self) -> None:
-        """Write one version of each live key to a new table, then put it in place of the old one's name."""
-        path, new = f"{self.path}/blobs", f"{self.path}/blobs-{self._seq()}"
-        keyvalue.compacted(self.blobs()).write.parquet(new)
-        self.spark.read.schema(_BLOBS).parquet(new).write.mode("overwrite").parquet(path)
+    def blob_files(self) -> int:
+        """Files of the blob table in force: each put adds some, a compaction makes them few."""
+        fs, folder = self._folder(f"{self.path}/{self._table()}")
+        return sum(x.getPath().getName().endswith(".parquet") for x in fs.listStatus(folder)) if fs.exists(folder) else 0
+
+    def compact_blobs(self, files: int = 0) -> bool:
+        """Write the newest version of each live key as the next table, if the one in force has at least ``files`` files; then delete the older ones.
+
+        The next table counts once it is whole. A reader that began before goes on until its files go.
+        """
+        if self.blob_files() < files:
+            return False
+        done = max(self._versions(), default=0)
+        self._next("blobs", self.blobs())  # numbers go on though tombstones leave
+        keyvalue.compacted(self.blobs()).write.mode("overwrite").parquet(f"{self.path}/blobs/v{done + 1}")
+        for n in self._versions()[:-1]:
+            fs, folder = self._folder(f"{self.path}/blobs/v{n}")
+            fs.delete(folder, True)
+        return True

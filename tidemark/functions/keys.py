@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,28 @@ def bloom_size(n: Column, p: float) -> tuple[Column, Column]:
     return m, F.ceil(m / n * math.log(2))
 
 
+def bloom_positions(key: Column, bits: int, hashes: int) -> Column:
+    """The bits of a key in a Bloom filter: double hashing with two 32-bit halves of its MD5."""
+    digest = F.md5(key)
+    h1, h2 = (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9))
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: (h1 + i * h2.bitwiseOR(F.lit(1))) % bits)
+
+
+def bloom_build(keys: DataFrame, key: str, bits: int, hashes: int) -> DataFrame:
+    """A Bloom filter as a table of 64-bit words that are not zero: word, bits."""
+    at = keys.select(F.explode(bloom_positions(F.col(key).cast("binary"), bits, hashes)).alias("at"))
+    return at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+
+
+def bloom_contains(probes: DataFrame, key: str, filter_: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """``probes`` (distinct keys) with ``maybe``: whether all bits of the key are set. No key that was put in is missed."""
+    at = probes.select(key, F.explode(bloom_positions(F.col(key).cast("binary"), bits, hashes)).alias("at"))
+    words = filter_.withColumnRenamed("bits", "__bits")
+    joined = at.withColumn("word", F.floor(F.col("at") / 64)).join(words, "word", "left")
+    is_set = F.coalesce(F.expr("shiftright(__bits, cast(at % 64 as int)) & 1L"), F.lit(0).cast("long"))
+    return joined.groupBy(key).agg((F.min(is_set) == 1).alias("maybe"))
+
+
 def in_box(code: Column, low: tuple[int, int, int], high: tuple[int, int, int]) -> Column:
     x, y, z = unmorton(code)
     return x.between(low[0], high[0]) & y.between(low[1], high[1]) & z.between(low[2], high[2])

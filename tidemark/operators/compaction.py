@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The plans' defaults.
 LEVELS, RATIO, L0_TRIGGER, LEVEL_BYTES, MIN_MERGE, SPREAD = 7, 10, 4, 64 << 20, 4, 0.5
 
 
@@ -38,24 +39,26 @@ def tiered(segments: DataFrame, min_merge: int = MIN_MERGE) -> DataFrame:
 def size_tiered(segments: DataFrame, spread: float = SPREAD) -> DataFrame:
     """segment_id, level, tier: by rising size, a segment joins the open tier if it is within ``spread`` of its mean.
 
-    The mean is an integer. The walk is a fold over one level's index rows, which are few per level.
+    The mean is an integer. Segments of one size always share a tier, so the walk is a fold over a
+    level's different sizes with their numbers, which are few however many segments there are.
     """
     def step(acc, x):
-        mean = F.expr("acc.total div acc.n") if False else (acc["total"] / acc["n"]).cast("long")
+        mean = (acc["total"] / acc["n"]).cast("long")
         joins = (acc["n"] > 0) & (F.abs(x["size"] - mean) / F.greatest(mean, F.lit(1)) <= spread)
         tier = F.when(joins | (acc["n"] == 0), acc["tier"]).otherwise(acc["tier"] + 1)
-        row = F.struct(x["segment_id"].alias("segment_id"), tier.alias("tier"))
+        row = F.struct(x["size"].alias("size"), tier.alias("tier"))
         return F.struct(
             tier.alias("tier"),
-            F.when(joins, acc["n"] + 1).otherwise(1).alias("n"),
-            F.when(joins, acc["total"] + x["size"]).otherwise(x["size"]).alias("total"),
+            (x["count"] + F.when(joins, acc["n"]).otherwise(0)).alias("n"),
+            (x["count"] * x["size"] + F.when(joins, acc["total"]).otherwise(0)).alias("total"),
             F.array_append(acc["out"], row).alias("out"),
         )
 
-    start = F.struct(F.lit(0).alias("tier"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<segment_id:bigint,tier:int>>").alias("out"))
-    rows = segments.groupBy("level").agg(F.array_sort(F.collect_list(F.struct("size", "segment_id"))).alias("s"))
-    walked = rows.select("level", F.explode(F.aggregate("s", start, step, lambda a: a["out"])).alias("x"))
-    return walked.select("x.segment_id", "level", "x.tier")
+    start = F.struct(F.lit(0).alias("tier"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<size:bigint,tier:int>>").alias("out"))
+    sizes = segments.groupBy("level", F.col("size").cast("long").alias("size")).count()
+    rows = sizes.groupBy("level").agg(F.array_sort(F.collect_list(F.struct("size", "count"))).alias("s"))
+    walked = rows.select("level", F.explode(F.aggregate("s", start, step, lambda a: a["out"])).alias("x")).select("level", "x.size", "x.tier")
+    return segments.join(walked, ["level", "size"]).select("segment_id", "level", "tier")
 
 
 def score(segments: DataFrame, trigger: int = L0_TRIGGER, level_bytes: int = LEVEL_BYTES, ratio: int = RATIO) -> DataFrame:
@@ -64,6 +67,3 @@ def score(segments: DataFrame, trigger: int = L0_TRIGGER, level_bytes: int = LEV
     part = F.when(F.col("level") == 0, F.col("files") / trigger).otherwise(F.col("bytes") / (level_bytes * F.pow(F.lit(float(ratio)), F.col("level"))))
     return s.agg(F.coalesce(F.max(part), F.lit(0.0)).alias("score"))
 
-
-def ranked_by_size(segments: DataFrame) -> DataFrame:
-    return segments.withColumn("place", F.row_number().over(Window.partitionBy("level").orderBy(F.desc("size"), "segment_id")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,21 +18,28 @@ from tidemark.sources.tables import COMPRESSED, RAW, TOMBSTONE
 MIN_COMPRESS_LEN, MIN_SAVING = 200, 16
 
 
-@F.pandas_udf(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("payload", T.BinaryType())]))
-def encoded(value: pd.Series) -> pd.DataFrame:
-    """zlib, if the value is long enough and gets so much smaller; raw otherwise."""
-    kinds, out = [], []
-    for v in value:
-        small = zlib.compress(v, 6) if v is not None and len(v) >= MIN_COMPRESS_LEN else v
-        better = v is not None and len(v) >= MIN_COMPRESS_LEN and len(small) + MIN_SAVING < len(v)
-        kinds.append(COMPRESSED if better else RAW)
-        out.append(small if better else v)
-    return pd.DataFrame({"kind": kinds, "payload": out})
+@F.pandas_udf(T.BinaryType())
+def _deflated(value: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else zlib.compress(v, 6) for v in value])
 
 
 @F.pandas_udf(T.BinaryType())
-def decoded(kind: pd.Series, payload: pd.Series) -> pd.Series:
-    return pd.Series([zlib.decompress(p) if k == COMPRESSED and p is not None else p for k, p in zip(kind, payload, strict=True)])
+def _inflated(payload: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else zlib.decompress(p) for p in payload])
+
+
+def encoded(value: Column | str) -> Column:
+    """struct<kind, payload>: zlib, if the value is long enough and gets so much smaller; raw otherwise. Short values get no further than the JVM's side of the call as nulls."""
+    v = F.col(value) if isinstance(value, str) else value
+    small = _deflated(F.when(F.length(v) >= MIN_COMPRESS_LEN, v))
+    better = F.coalesce(F.length(small) + MIN_SAVING < F.length(v), F.lit(False))
+    return F.struct(F.when(better, COMPRESSED).otherwise(RAW).alias("kind"), F.when(better, small).otherwise(v).alias("payload"))
+
+
+def decoded(kind: Column | str, payload: Column | str) -> Column:
+    kind, payload = (F.col(c) if isinstance(c, str) else c for c in (kind, payload))
+    packed = kind == COMPRESSED
+    return F.when(packed, _inflated(F.when(packed, payload))).otherwise(payload)
 
 
 def puts(rows: DataFrame) -> DataFrame:
@@ -45,6 +52,21 @@ def deletes(keys: DataFrame) -> DataFrame:
     return keys.select("k", F.lit(TOMBSTONE).alias("kind"), F.lit(None).cast("binary").alias("payload"), "seq")
 
 
+def framed(log: DataFrame) -> DataFrame:
+    """Log rows with a checksum over kind, key and payload, as they are written."""
+    return log.withColumn("crc", _checksum())
+
+
+def _checksum() -> Column:
+    return F.crc32(F.concat(F.col("kind").cast("string").cast("binary"), "k", F.coalesce("payload", F.lit(b""))))
+
+
+def intact(frames: DataFrame) -> DataFrame:
+    """The log up to its first broken record: one whose checksum is missing (cut off) or does not fit."""
+    broken = frames.where(F.col("crc").isNull() | (F.col("crc") != _checksum())).agg(F.min("seq").alias("__stop"))
+    return frames.join(F.broadcast(broken), F.col("__stop").isNull() | (F.col("seq") < F.col("__stop"))).drop("__stop", "crc")  # one row
+
+
 def live(log: DataFrame) -> DataFrame:
     """The newest version of every key that is not deleted: k, kind, payload, seq."""
     newest = log.groupBy("k").agg(F.max_by(F.struct("kind", "payload", "seq"), "seq").alias("e"))

@@ -14,19 +14,18 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import encodings
 
+# What the fits may cost and how far off they may be.
 MAX_DEGREE, POLY_ERROR = 9, 1e-3
 MAX_HARMONICS, ENERGY = 20, 0.99
 MIN_RATIO = 2.0
 MAX_WAVE_ERROR = 0.1  # of the variance; worse waves give way to the raw samples
 
-_SEGMENT = f"series string, segment_id long, start_time long, end_time long, point_count long, original_size long, model {encodings.MODEL}, residual array<float>"
-
 
 def cut(points: DataFrame, capacity: int) -> DataFrame:
     """Add segment_id: every ``capacity`` points of a series in the order of seq.
 
-    Rows are ranked within bins of seq first, so no series is sorted in one task: a bin's rank
-    begins where the bins before it end.
+    Rows are ranked within bins of seq first: a bin's rank begins where the bins before it end. Where
+    numbers run on, as ``Database`` gives them, bins are full and no series is sorted in one task.
     """
     bins = points.withColumn("__bin", F.expr(f"cast(seq as long) div {64 * capacity}L"))
     n = bins.groupBy("series", "__bin").count()
@@ -107,18 +106,26 @@ def evaluated(m: dict, x: np.ndarray) -> np.ndarray:
 
 
 def fitted(points: DataFrame, capacity: int = 1000, lossless: bool = False) -> DataFrame:
-    """Segments of (series, t, v, seq); one Python call per segment of at most ``capacity`` points."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "seq"])
-        v = pdf["v"].to_numpy(float)
-        m = best_model(v)
-        residual = (v - evaluated(m, np.arange(len(v)) / max(1, len(v) - 1))).astype(np.float32).tolist() if lossless else None
-        first, last = int(pdf["t"].iloc[0]), int(pdf["t"].iloc[-1])
-        return pd.DataFrame([{"series": pdf["series"].iloc[0], "segment_id": pdf["segment_id"].iloc[0], "start_time": first, "end_time": last, "point_count": len(v), "original_size": 4 * len(v), "model": m, "residual": residual}])
-
-    rows = cut(points.withColumn("seq", F.col("seq").cast("long")), capacity).select("series", "segment_id", "t", "v", "seq")
-    s = rows.groupBy("series", "segment_id").applyInPandas(fit, _SEGMENT)
+    """Segments of (series, t, v, seq). A segment's samples, ``capacity`` at most, travel as one array.
+
+    With ``lossless`` the residual of each sample is kept in double precision, so that model and
+    residual give the stored single back exactly.
+    """
+
+    @F.pandas_udf(f"model {encodings.MODEL}, residual array<double>")
+    def fit(values: pd.Series) -> pd.DataFrame:
+        models, rests = [], []
+        for x in values:
+            v = np.asarray(x, float)
+            models.append(best_model(v))
+            rests.append((v - evaluated(models[-1], np.arange(len(v)) / max(1, len(v) - 1))).tolist() if lossless else None)
+        return pd.DataFrame({"model": models, "residual": rests})
+
+    rows = cut(points.withColumn("seq", F.col("seq").cast("long")), capacity)
+    each = rows.groupBy("series", "segment_id").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "v"))).alias("p"))
+    s = each.select("series", "segment_id", "p", fit("p.v").alias("f"))
+    n = F.size("p").cast("long")
+    s = s.select("series", "segment_id", F.col("p")[0]["t"].alias("start_time"), F.element_at("p", -1)["t"].alias("end_time"), n.alias("point_count"), (4 * n).alias("original_size"), "f.model", "f.residual")
     size = encodings.model_bytes(F.col("model"))
     return s.withColumn("model_size", size.cast("long")).withColumn("compression_ratio", F.col("original_size") / size)
 
@@ -133,6 +140,12 @@ def regenerated(segments: DataFrame) -> DataFrame:
     return rows.select("series", "segment_id", "i", t.alias("t"), v.alias("v"))
 
 
+def read_range(segments: DataFrame, start: int, end: int) -> DataFrame:
+    """Samples of the model at times in [start, end]: only segments that reach into it are evaluated."""
+    reach = segments.where((F.col("start_time") <= end) & (F.col("end_time") >= start))
+    return regenerated(reach).where(F.col("t").between(start, end))
+
+
 def value_of(segments: DataFrame, t: int) -> DataFrame:
     """Interpolated value at ``t`` from the first segment that covers it, per series."""
     hit = segments.where((F.col("start_time") <= t) & (F.col("end_time") >= t))

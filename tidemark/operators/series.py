@@ -79,8 +79,9 @@ def downsampled(points: DataFrame, interval: int, *names: str, by: tuple[str, ..
 
 
 def filled(buckets: DataFrame, interval: int, start: int, end: int) -> DataFrame:
-    """``buckets`` with a row of nulls for every bucket from start to end that has no points."""
-    spine = buckets.sparkSession.range(0, (end - start) // interval + 1).select((F.col("id") * interval + start).alias("bucket"))
+    """``buckets`` with a row of nulls for every bucket from that of start to that of end that has no points."""
+    first, last = (abs(t) // interval * (interval if t >= 0 else -interval) for t in (start, end))
+    spine = buckets.sparkSession.range(0, max(0, (last - first) // interval + 1)).select((F.col("id") * interval + first).alias("bucket"))
     return spine.join(buckets, "bucket", "left")
 
 
@@ -149,6 +150,13 @@ class SeriesQuery:
 
 
 def moving(points: DataFrame, width: int, by: tuple[str, ...] = ("series",)) -> DataFrame:
-    """Mean of the points of the last ``width`` time units, within each series."""
-    w = Window.partitionBy(*by).orderBy("t").rangeBetween(-width, 0)
-    return points.withColumn("mean", F.avg(F.col("v").cast("double")).over(w))
+    """Mean of the points of the last ``width`` time units, within each series.
+
+    Time is cut into bins of ``width``; a point also goes to the next bin, where it is only looked
+    back at. So a series is spread over as many tasks as it has bins.
+    """
+    bin_ = F.floor(F.col("t") / width)
+    both = points.withColumn("__bin", F.explode(F.array(bin_, bin_ + 1)))
+    w = Window.partitionBy(*by, "__bin").orderBy("t").rangeBetween(-width, 0)
+    out = both.withColumn("mean", F.avg(F.col("v").cast("double")).over(w))
+    return out.where(F.col("__bin") == bin_).drop("__bin")

@@ -6,7 +6,10 @@ txns: txn_id, status (active, committed, aborted), start_ts
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -53,21 +56,88 @@ def waits(locks: DataFrame) -> DataFrame:
     return waiter.join(holder, "key").where("waiter != holder").select("waiter", "holder").distinct()
 
 
-def deadlocked(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """Transactions on or behind a cycle of the wait-for graph (txn_id).
+def begun(txns: DataFrame, starting: DataFrame) -> DataFrame:
+    """``txns`` with new active transactions (txn_id, start_ts); an id that is already known is not begun again."""
+    new = starting.join(txns.select("txn_id"), "txn_id", "left_anti").select("txn_id", F.lit("active").alias("status"), "start_ts")
+    return txns.select("txn_id", "status", "start_ts").unionByName(new)
+
+
+def settled(versions: DataFrame, txns: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """versions and txns after ``decisions`` (txn_id, commit_ts; a null commit_ts aborts) on active transactions.
+
+    A commit stamps all versions of its transaction at once, an abort takes them away; decisions on
+    transactions that are not active change nothing.
+    """
+    due = decisions.join(txns.where("status = 'active'").select("txn_id"), "txn_id", "left_semi").select("txn_id", F.col("commit_ts").alias("__ts"), F.lit(True).alias("__due"))
+    marked = versions.join(due, "txn_id", "left").where("__due is null or __ts is not null or commit_ts is not null")
+    stamped = marked.withColumn("commit_ts", F.coalesce("commit_ts", "__ts")).select(*versions.columns)
+    status = F.when(F.col("__due") & F.col("__ts").isNotNull(), "committed").when(F.col("__due"), "aborted").otherwise(F.col("status"))
+    return stamped, txns.join(due, "txn_id", "left").withColumn("status", status).select(*txns.columns)
+
+
+def _kept(df: DataFrame, counted: str = "true") -> tuple[DataFrame, int]:
+    """``df`` written to the shared folder and read again, and the number of rows where ``counted`` holds, seen while writing.
+
+    Only a local master may use a temporary folder.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-ck-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, F.count_if(F.expr(counted)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``edges`` without those that no cycle can hold: from one that nobody waits for, or to one that waits for nobody; and how many are left.
+
+    Rounds go on while each takes at least a fiftieth: what remains of long chains is left to the labels.
+    """
+    (left, n), before = _kept(edges), None
+    while n and (before is None or n <= 0.98 * before):
+        before = n
+        waiters, holders = left.select(F.col("waiter").alias("holder")).distinct(), left.select(F.col("holder").alias("waiter")).distinct()
+        left, n = _kept(left.join(waiters, "holder", "left_semi").join(holders, "waiter", "left_semi").select("waiter", "holder"))
+    return left, n
+
+
+def deadlocked(edges: DataFrame) -> DataFrame:
+    """Transactions on a cycle of the wait-for graph (txn_id); those that merely wait for one are not.
 
-    Whoever waits for nobody is taken away, round by round; who is left waits for ever. Each round
-    is checkpointed, so plans stay short and a lost executor costs one round.
+    Edges that no cycle can hold are trimmed. Then every transaction learns the largest one that
+    leads to it; where that is itself, it and all that lead back to it with the same label are a
+    strongly connected part. Parts are taken out until nothing is left. The loops end when nothing
+    changes, however long the chains; each round is written, so a lost executor costs one.
     """
-    left = edges.checkpoint()
-    n = left.count()
-    for _ in range(most_rounds):
-        left = left.join(left.select(F.col("waiter").alias("holder")).distinct(), "holder", "left_semi").select("waiter", "holder").checkpoint()
-        m = left.count()
-        if m == n:
-            break
-        n = m
-    return left.select(F.col("waiter").alias("txn_id")).distinct()
+    left, n = _trimmed(edges.where("waiter != holder").select("waiter", "holder").distinct())
+    out = edges.select(F.col("waiter").alias("txn_id")).where("false")
+    while n:
+        label = left.select(F.explode(F.array("waiter", "holder")).alias("v")).distinct().withColumn("label", F.col("v"))
+        moved = 1
+        while moved:
+            told = left.join(label, left["waiter"] == label["v"]).groupBy("holder").agg(F.max("label").alias("told"))
+            new, moved = _kept(label.join(told, label["v"] == told["holder"], "left").select("v", F.greatest("label", "told").alias("label"), (F.col("told") > F.col("label")).alias("moved")), "moved")
+            label = new.select("v", "label")
+        # edges within one label; those to other labels are on no cycle
+        inner = left.join(label.withColumnsRenamed({"v": "waiter", "label": "a"}), "waiter").join(label.withColumnsRenamed({"v": "holder", "label": "b"}), "holder").where("a = b").select("waiter", "holder")
+        inner, _ = _kept(inner)
+        part, grown = _kept(label.where("v = label").select("v"))
+        front = part
+        while grown:  # backward, within one label
+            front, grown = _kept(inner.join(front.withColumnRenamed("v", "holder"), "holder").select(F.col("waiter").alias("v")).distinct().join(part, "v", "left_anti"))
+            part = part.unionByName(front)
+        part, _ = _kept(part)
+        waiter, holder = part.withColumnRenamed("v", "waiter"), part.withColumnRenamed("v", "holder")
+        # a part of one has no edge within itself
+        on = inner.join(waiter, "waiter", "left_semi").join(holder, "holder", "left_semi")
+        out = out.unionByName(_kept(on.select(F.explode(F.array("waiter", "holder")).alias("txn_id")).distinct())[0])
+        left, n = _trimmed(inner.join(waiter, "waiter", "left_anti").join(holder, "holder", "left_anti"))
+    return out
 
 
 def commit_index(match: DataFrame, log: DataFrame, term: int, peers: int) -> DataFrame:

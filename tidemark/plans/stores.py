@@ -68,6 +68,26 @@ def _blobs() -> None:
     _add("bloom_sizing", sizes, "SELECT event_type, CAST(ceil(-n * ln(0.01) / (ln(2) * ln(2))) AS BIGINT) AS bits, CAST(ceil(ceil(-n * ln(0.01) / (ln(2) * ln(2))) / n * ln(2)) AS BIGINT) AS hashes FROM (SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1)")
 
 
+    def bloom(s: SparkSession, d: str) -> DataFrame:
+        """A filter over the users that bought, asked for every user."""
+        k = log(s, d).select(F.col("k").cast("string").alias("k")).distinct()
+        bought = tables.table(s, d, "events").where("event_type = 'purchase'").select(F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("k")).distinct()
+        bits, hashes = (int(x) for x in bought.agg(*keys.bloom_size(F.count("*"), 0.01)).first())
+        return keys.bloom_contains(k, "k", keys.bloom_build(bought, "k", bits, hashes), bits, hashes)
+
+    at = "(('0x' || substr(md5(k), 1, 8))::BIGINT + i * (('0x' || substr(md5(k), 9, 8))::BIGINT | 1)) % bits"
+    _add("bloom_contains", bloom, f"WITH {LOG}, u AS (SELECT DISTINCT k FROM l), b AS (SELECT DISTINCT 'user:' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS k FROM events WHERE event_type = 'purchase'), z AS (SELECT count(*) AS n, CAST(ceil(-count(*) * ln(0.01) / (ln(2) * ln(2))) AS BIGINT) AS bits FROM b), y AS (SELECT bits, CAST(ceil(bits / n * ln(2)) AS BIGINT) AS hashes FROM z), h AS (SELECT bits, unnest(range(hashes)) AS i FROM y), f AS (SELECT DISTINCT {at} AS pos FROM b, h), p AS (SELECT k, {at} AS pos FROM u, h) SELECT p.k, bool_and(f.pos IS NOT NULL) AS maybe FROM p LEFT JOIN f ON p.pos = f.pos GROUP BY p.k")
+
+    def cut_off(s: SparkSession, d: str) -> DataFrame:
+        """The log as written, with the record of nine tenths of the way damaged: what is before it lives."""
+        frames = keyvalue.framed(log(s, d))
+        far = frames.agg(F.expr("max(seq) * 9 div 10").alias("far"))
+        damaged = frames.join(F.broadcast(far)).withColumn("crc", F.col("crc") + (F.col("seq") == F.col("far")).cast("long")).drop("far")  # one row
+        return _text(keyvalue.live(keyvalue.intact(damaged)))
+
+    _add("blob_log_replay", cut_off, f"WITH {LOG}, w AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS n FROM l WHERE seq < (SELECT max(event_id) * 9 // 10 FROM events)) SELECT k, payload, seq FROM w WHERE n = 1 AND NOT gone")
+
+
 def _metrics() -> None:
     def keyed(s: SparkSession, d: str) -> DataFrame:
         e = tables.table(s, d, "events")
@@ -144,7 +164,15 @@ def _plans() -> None:
 
     _add("compact_plan_largest", small, f"WITH {seg}, r AS (SELECT *, row_number() OVER (ORDER BY size DESC, segment_id) AS n FROM s WHERE level = (SELECT min(level) FROM z WHERE level > 0 AND bytes > 100)) SELECT segment_id, level AS from_level, level + 1 AS to_level FROM r WHERE n = 1")
     _add("compact_plan_tiered", lambda s, d: compaction.tiered(src(s, d), 2), f"WITH {seg}, f AS (SELECT min(level) AS from_level FROM z WHERE files >= 2) SELECT segment_id, from_level, least(from_level + 1, 6) AS to_level FROM s JOIN f ON level = from_level")
-    _add("compact_plan_size_tiered", lambda s, d: compaction.size_tiered(src(s, d)), None)
+    walk = "o AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY size, segment_id) AS i FROM s), f AS (SELECT level, segment_id, i, 0 AS tier, 1 AS n, CAST(size AS BIGINT) AS total FROM o WHERE i = 1 UNION ALL SELECT level, segment_id, i, CASE WHEN near THEN tier ELSE tier + 1 END, CASE WHEN near THEN n + 1 ELSE 1 END, CASE WHEN near THEN total + size ELSE size END FROM (SELECT o.level, o.segment_id, o.i, o.size, f.tier, f.n, f.total, abs(o.size - f.total // f.n) / greatest(f.total // f.n, 1) <= 0.5 AS near FROM f JOIN o ON o.level = f.level AND o.i = f.i + 1))"
+    _add("compact_plan_size_tiered", lambda s, d: compaction.size_tiered(src(s, d)), f"WITH RECURSIVE {seg}, {walk} SELECT segment_id, level, tier FROM f")
+
+    def uneven(s: SparkSession, d: str) -> DataFrame:
+        """A segment for each user, as large as their events, so that there are several tiers."""
+        e = tables.table(s, d, "events").groupBy("user_id").agg((F.count("*") * 12).alias("size"))
+        return compaction.size_tiered(e.select(F.col("user_id").alias("segment_id"), "size", F.expr("cast(user_id % 2 as int)").alias("level")))
+
+    _add("compact_plan_size_tiered_users", uneven, f"WITH RECURSIVE s AS (SELECT user_id AS segment_id, count(*) * 12 AS size, CAST(user_id % 2 AS INT) AS level FROM events GROUP BY 1), {walk} SELECT segment_id, level, tier FROM f")
     _add("compact_score", lambda s, d: compaction.score(src(s, d)).select(F.round("score", 6).alias("score")), f"WITH {seg} SELECT round(max(CASE WHEN level = 0 THEN files / 4 ELSE bytes / (67108864 * pow(10, level)) END), 6) AS score FROM z")
 
 
@@ -184,6 +212,21 @@ def _transactions() -> None:
 
     lock = "k AS (SELECT o_custkey AS key, o_orderkey % 500 AS txn_id, o_orderstatus = 'F' AS granted FROM orders WHERE o_orderstatus != 'P'), e AS (SELECT DISTINCT a.txn_id AS waiter, b.txn_id AS holder FROM k a JOIN k b ON a.key = b.key AND NOT a.granted AND b.granted AND a.txn_id != b.txn_id)"
     _add("lock_wait_for", lambda s, d: versions.waits(locks(s, d)), f"WITH {lock} SELECT waiter, holder FROM e")
+
+    def held(s: SparkSession, d: str) -> DataFrame:
+        """Two orders are one transaction; finished ones hold their customer, open ones wait for it."""
+        o = tables.table(s, d, "orders").where("o_orderstatus != 'P'")
+        return o.select(F.col("o_custkey").alias("key"), F.expr("o_orderkey div 2").alias("txn_id"), (F.col("o_orderstatus") == "F").alias("granted"))
+
+    _add("lock_deadlock_cycle", lambda s, d: versions.deadlocked(versions.waits(held(s, d))), "WITH RECURSIVE k AS (SELECT o_custkey AS key, o_orderkey // 2 AS txn_id, o_orderstatus = 'F' AS granted FROM orders WHERE o_orderstatus != 'P'), e AS (SELECT DISTINCT a.txn_id AS waiter, b.txn_id AS holder FROM k a JOIN k b ON a.key = b.key AND NOT a.granted AND b.granted AND a.txn_id != b.txn_id), r AS (SELECT waiter, holder FROM e UNION SELECT r.waiter, e.holder FROM r JOIN e ON r.holder = e.waiter) SELECT DISTINCT waiter AS txn_id FROM r WHERE waiter = holder")
+
+    def decided(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+        """New transactions begin for every open order; those of odd orders commit, of even ones abort."""
+        known = versions.begun(txn(s, d).where("status != 'active'"), txn(s, d).where("status = 'active'").select("txn_id", "start_ts"))
+        return versions.settled(version(s, d), known, known.select("txn_id", F.when(F.expr("txn_id % 2 = 1"), F.col("start_ts") + 60).alias("commit_ts")))
+
+    _add("mvcc_commit_abort", lambda s, d: decided(s, d)[0].select("key", "txn_id", "commit_ts"), f"WITH {v} SELECT key, txn_id, CASE WHEN st = 'O' THEN (SELECT CAST(epoch(o_orderdate) AS BIGINT) FROM orders WHERE o_orderkey = txn_id) - 2591940 ELSE commit_ts END AS commit_ts FROM v WHERE st != 'O' OR txn_id % 2 = 1")
+    _add("mvcc_status", lambda s, d: decided(s, d)[1].select("txn_id", "status"), "SELECT o_orderkey AS txn_id, CASE WHEN o_orderstatus = 'F' THEN 'committed' WHEN o_orderstatus = 'P' THEN 'aborted' WHEN o_orderkey % 2 = 1 THEN 'committed' ELSE 'aborted' END AS status FROM orders")
     _add("raft_commit_index", raft_commit, "WITH g AS (SELECT o_orderpriority AS node, max(o_orderkey) AS m FROM orders GROUP BY 1), h AS (SELECT m FROM g ORDER BY m DESC LIMIT 1 OFFSET 2) SELECT coalesce(max(o_orderkey), 0) AS commit_index FROM orders, h WHERE o_orderkey <= m AND o_orderkey % 3 = 1")
 
     def entries(s: SparkSession, d: str) -> DataFrame:

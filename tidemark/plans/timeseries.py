@@ -134,6 +134,14 @@ def _aggregates() -> None:
         return series.filled(b, minute, A, A + HOUR)
 
     _add("downsample_filled", gaps, f"WITH {POINTS}, {FIRSTS}, b AS (SELECT (t // 60000000) * 60000000 AS bucket, CAST(count(*) AS DOUBLE) AS value FROM d WHERE t BETWEEN {A} AND {A + HOUR} GROUP BY 1) SELECT g.bucket, value FROM (SELECT {A} + 60000000 * i AS bucket FROM range(0, 61) r(i)) g LEFT JOIN b USING (bucket)")
+    def all_gaps(s: SparkSession, d: str) -> DataFrame:
+        """Every hour of the whole table; hours of a rare kind of event are often empty."""
+        p = tables.points_from_events(s, d).where("series = 'error'")
+        lo, hi = p.agg(F.min("t"), F.max("t")).first()
+        b = series.SeriesQuery(p).group_by(HOUR // 4).aggregate("count").execute()
+        return series.filled(b, HOUR // 4, lo, hi) if lo is not None else b
+
+    _add("downsample_filled_all", all_gaps, f"WITH e AS (SELECT DISTINCT epoch_us(ts) AS t FROM events WHERE event_type = 'error'), b AS (SELECT (t // {HOUR // 4}) * {HOUR // 4} AS bucket, CAST(count(*) AS DOUBLE) AS value FROM e GROUP BY 1), x AS (SELECT min(bucket) AS lo, max(bucket) AS hi FROM b) SELECT g.bucket, value FROM (SELECT unnest(range(lo, hi + 1, {HOUR // 4})) AS bucket FROM x) g LEFT JOIN b USING (bucket)")
     _add("moving_mean", lambda s, d: series.moving(tables.points_from_events(s, d), DAY).select("seq", F.round("mean", 6).alias("mean")), f"WITH {POINTS} SELECT seq, round(avg(v) OVER (PARTITION BY series ORDER BY t RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW), 6) AS mean FROM p")
 
 
@@ -150,12 +158,6 @@ def _lookups() -> None:
 
     _add("interval_join", join, f"WITH {seg}, q AS (SELECT user_id, min(epoch_us(ts)) AS a FROM events GROUP BY 1) SELECT segment_id, user_id FROM s JOIN q ON start_time <= a + {DAY} AND end_time >= a")
 
-    def asof(s: SparkSession, d: str) -> DataFrame:
-        p = tables.points_from_events(s, d)
-        facts = p.where("series = 'purchase'").groupBy(F.lit("x").alias("by"), "t").agg(F.max_by("v", "seq").cast("double").alias("value"))
-        probes = p.where("series = 'signup'").select(F.lit("x").alias("by"), "t", "seq")
-        return intervals.as_of(probes, facts, "by").select("seq", "value")
-
     def asof_user(s: SparkSession, d: str) -> DataFrame:
         e = tables.table(s, d, "events").select(F.col("user_id").alias("by"), tables.micros("ts").alias("t"), F.col("event_id").alias("seq"), F.col("value").cast("double").alias("value"), "event_type")
         facts = e.where("event_type = 'purchase'").groupBy("by", "t").agg(F.max_by("value", "seq").alias("value"))
@@ -170,14 +172,21 @@ def _lookups() -> None:
     _add("segment_cut", by_arrival, f"WITH {POINTS} SELECT series, segment_id, min(t) AS start_time, max(t) AS end_time, count(*) AS point_count FROM (SELECT *, (row_number() OVER (PARTITION BY series ORDER BY seq) - 1) // 250 AS segment_id FROM p) GROUP BY 1, 2")
 
     def smooth(s: SparkSession, d: str) -> DataFrame:
-        """Running totals of each series: smooth enough for models."""
+        """Running means of each series' day: smooth enough for models. Sums are of whole cents, so they do not depend on order."""
         from pyspark.sql import Window
 
-        w = Window.partitionBy("series").orderBy("t", "seq").rowsBetween(-200, 0)
-        return tables.points_from_events(s, d).withColumn("v", F.avg("v").over(w).cast("float"))
+        p = tables.points_from_events(s, d, cents=True)
+        w = Window.partitionBy("series", F.expr(f"t div {DAY}")).orderBy("t", "seq").rowsBetween(-200, 0)
+        return p.withColumn("v", (F.sum("cents").over(w) / (F.count("*").over(w) * 100.0)).cast("float")).drop("cents")
 
     _add("model_segments", lambda s, d: models.fitted(smooth(s, d), 500).select("series", "segment_id", "start_time", "end_time", "point_count", "model.kind", "model_size", F.round("compression_ratio", 4).alias("ratio")), None)
-    _add("model_scan", lambda s, d: models.regenerated(models.fitted(smooth(s, d), 500, lossless=True)).select("series", "segment_id", "i", "t", F.round("v", 3).alias("v")), None)
+    exact = "c AS (SELECT event_type AS series, epoch_us(ts) AS t, event_id AS seq, CAST(round(value * 100) AS BIGINT) AS cents FROM events), m AS (SELECT *, CAST(CAST(sum(cents) OVER w AS BIGINT) / (count(*) OVER w * 100.0) AS FLOAT) AS v FROM c WINDOW w AS (PARTITION BY series, t // " + str(DAY) + " ORDER BY t, seq ROWS BETWEEN 200 PRECEDING AND CURRENT ROW)), g AS (SELECT *, (row_number() OVER (PARTITION BY series ORDER BY seq) - 1) // 500 AS segment_id FROM m), i AS (SELECT series, segment_id, CAST(v AS DOUBLE) AS v, row_number() OVER (PARTITION BY series, segment_id ORDER BY t, seq) - 1 AS i, min(t) OVER (PARTITION BY series, segment_id) AS a, max(t) OVER (PARTITION BY series, segment_id) AS b, count(*) OVER (PARTITION BY series, segment_id) AS n FROM g), r AS (SELECT series, segment_id, i, a + (i * (b - a)) // greatest(n - 1, 1) AS t, v FROM i)"
+
+    def exactly(df: DataFrame) -> DataFrame:
+        return df.select("series", "segment_id", "i", "t", F.col("v").cast("float").cast("double").alias("v"))
+
+    _add("model_scan", lambda s, d: exactly(models.regenerated(models.fitted(smooth(s, d), 500, lossless=True))), f"WITH {exact} SELECT series, segment_id, i, t, v FROM r")
+    _add("model_range", lambda s, d: exactly(models.read_range(models.fitted(smooth(s, d), 500, lossless=True), A, B)), f"WITH {exact} SELECT series, segment_id, i, t, v FROM r WHERE t BETWEEN {A} AND {B}")
     _add("model_totals", lambda s, d: models.totals(models.fitted(smooth(s, d), 500)), None)
     _add("segment_stats", lambda s, d: models.stats(models.fitted(smooth(s, d), 500)), None)
     _add("model_distribution", lambda s, d: models.fitted(tables.points_from_events(s, d), 500).groupBy("model.kind").count(), None)

@@ -20,9 +20,11 @@ def micros(c: str) -> F.Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def points_from_events(spark: SparkSession, folder: str) -> DataFrame:
+def points_from_events(spark: SparkSession, folder: str, cents: bool = False) -> DataFrame:
+    """``cents`` adds the value in whole hundredths."""
     e = table(spark, folder, "events")
-    return e.select(F.col("event_type").alias("series"), micros("ts").alias("t"), F.col("value").cast("float").alias("v"), F.col("event_id").alias("seq"))
+    more = [F.round(F.col("value") * 100).cast("long").alias("cents")] if cents else []
+    return e.select(F.col("event_type").alias("series"), micros("ts").alias("t"), F.col("value").cast("float").alias("v"), F.col("event_id").alias("seq"), *more)
 
 
 def points_from_lineitem(spark: SparkSession, folder: str) -> DataFrame:
