@@ -192,6 +192,25 @@ def test_neighbours(spark):
     assert got[120] == nearest(ids, d, 120, 20) and 120 not in got[120]
 
 
+@pytest.mark.parametrize("kind, n", [("random", 4000), ("clusters", 4000), ("random", 500)])
+def test_neighbours_recall(spark, kind, n):
+    """At least 0.9 of the true neighbours in 64 dimensions; vectors in clusters are found in a small part of the table."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(n, 64))
+    if kind == "clusters":
+        v = (rng.normal(size=(100, 64)) * 3)[rng.integers(0, 100, n)] + 0.5 * v
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("id") % 20 == 0).collect():
+        got[r.query_id].append(r.vec_id)
+    ids = np.arange(n)
+    assert np.mean([len(set(got[q]) & set(nearest(ids, v, q, 20))) / 20 for q in range(0, n, 20)]) >= 0.9
+    depth = int(np.log2(n / ann.LEAF_ROWS))
+    f = ann.grow(v, np.linalg.norm(v, axis=1).max() * 1.001, depth)
+    share = ann.needed_share(f, v, f.leaves(v) + np.arange(ann.TREES) * 2**depth, 20)
+    assert depth >= 1 and 0 < share < (0.05 if kind == "clusters" else 0.5)
+
+
 def test_neighbours_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (20, [1.0, 2.0]), (20, [1.0, 2.0]), (40, [0.5, 0.5])]

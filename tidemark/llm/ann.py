@@ -8,17 +8,23 @@ never rise on the way down, so the queue yields leaves by falling priority; they
 they hold ``share`` of the rows of all trees. Candidates of the opened leaves are reranked exactly,
 in double precision, on the original vectors.
 
+Unless given, ``share`` is measured: for sampled queries and their true neighbours in the sample
+it is what opens a leaf of ``TARGET`` of these. Vectors in clusters need a few leaves; independent
+random directions in many dimensions need most of the table, whatever the index.
+
 The largest inner product is the nearest angle once each vector gets one more component that
 makes all lengths equal; the trees work on these.
 
 Equal vectors are one candidate with their smallest ids (one more than asked for, as a query's
 own id does not count), and equal queries one query, so copies cost nothing. Leaves of more than
-``CHUNK`` rows are searched in chunks by several tasks.
+``CHUNK`` rows are searched in chunks by several tasks; a vector is sent once to each of its leaves,
+and again only for each ``QUERY_BLOCK`` queries that open it.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor
-do vectors of another length than most have, nor rows with a null id; with fewer candidates than
-asked for all are returned; rows with one id are one candidate, at its best; an empty table gives
-an empty result; extra columns are left out.
+do vectors of another length than most have (no inner product is defined for them), nor rows with
+a null id; with fewer candidates than asked for all are returned; rows with one id are one
+candidate, at its best; ties in score go to the smaller id; repeated rows count once; an empty table
+gives an empty result; extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -35,11 +41,13 @@ from tidemark.llm import _common
 
 FIT_ROWS = 20_000
 TREES = 8
-LEAF_ROWS = 512
-LEAST_SAMPLE = 32  # sampled rows that a leaf keeps
-SHARE = 0.15
+LEAF_ROWS = 128
+LEAST_SAMPLE = 16  # sampled rows that a leaf keeps
+TARGET = 0.96  # of the neighbours that the opened leaves are to hold
+TRIALS = 300
 CHUNK = 4096
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 16384
+PROBED = 1024  # queries that one task leads to leaves
 
 
 @dataclass
@@ -111,6 +119,26 @@ def grow(sample: np.ndarray, length: float, depth: int, trees: int = TREES, seed
     return forest
 
 
+def needed_share(forest: Forest, sample: np.ndarray, leaf: np.ndarray, k: int, target: float = TARGET, trials: int = TRIALS) -> float:
+    """The share of the rows of all trees to be opened so that ``target`` of the true neighbours are found, by ``trials`` sampled queries.
+
+    ``leaf`` has the leaf (tree * leaves + leaf) of each sampled row in each tree.
+    """
+    sizes = np.bincount(leaf.ravel(), minlength=forest.directions.shape[0] << forest.depth)
+    asked = np.random.default_rng(9).permutation(len(sample))[:trials]
+    needs = [np.zeros(0)]
+    for q, p in zip(asked, forest.priorities(sample[asked]).reshape(len(asked), -1), strict=True):
+        order = np.argsort(-p, kind="stable")
+        before = np.zeros(len(order))
+        before[order] = (np.cumsum(sizes[order]) - sizes[order]) / leaf.size
+        score = sample @ sample[q]
+        score[q] = -np.inf
+        near = np.argsort(-score)[: min(k, len(sample) - 1)]
+        needs.append(before[leaf[near]].min(1))
+    needs = np.concatenate(needs)
+    return float(np.quantile(needs, target)) + 1e-9 if len(needs) else 1.0
+
+
 def usable(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
     """id, v (array<double>) of the rows that take part."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
@@ -143,7 +171,7 @@ def _bars(x: np.ndarray, opened: list[np.ndarray], sample: np.ndarray, leaf: np.
     return out
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaf_rows: int = LEAF_ROWS, share: float = SHARE) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaf_rows: int = LEAF_ROWS, share: float | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of largest inner product for each row where ``is_query`` (of column id) holds."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_, vector)
@@ -162,7 +190,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_i
     grown = grow(sample, length * (1 + 1e-9), depth, trees)
     leaves = 2**depth
     forest = spark.sparkContext.broadcast(grown)
-    fitted = spark.sparkContext.broadcast((sample, grown.leaves(sample) + np.arange(trees) * leaves))  # FIT_ROWS rows
+    home = grown.leaves(sample) + np.arange(trees) * leaves
+    share = max(needed_share(grown, sample, home, k) if share is None else share, min(1.0, 4 * (k + 1) / count))
+    fitted = spark.sparkContext.broadcast((sample, home))  # FIT_ROWS rows
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,7 +209,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_i
     shared = spark.sparkContext.broadcast((sizes.reshape(trees, leaves), chunks))
 
     ask = asking.groupBy("v").agg(F.min("id").alias("q"))
-    blocks = max(1, -(-int(ask.count() * share) // QUERY_BLOCK))
+    n_asked = ask.count()
+    blocks = max(1, -(-int(n_asked * share) // QUERY_BLOCK))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, chunk = shared.value
@@ -196,7 +227,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_i
                 piece = np.arange(len(leaf)) - np.repeat(np.cumsum(times) - times, times)
                 yield pa.RecordBatch.from_arrays([part.column("q").take(pa.array(row)), part.column("v").take(pa.array(row)), pa.array(leaf.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(bar[row])], names=["q", "v", "leaf", "chunk", "bar"])
 
-    asked = ask.select("q", "v").mapInArrow(probe, "q long, v array<double>, leaf int, chunk int, bar double").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
+    asked = ask.select("q", "v").repartition(max(1, -(-n_asked // PROBED)), "q").mapInArrow(probe, "q long, v array<double>, leaf int, chunk int, bar double").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
 
     rows_ = indexed.select("c", "v", "ids", F.explode("leaf").alias("leaf"))
     rows_ = rows_.withColumn("chunk", F.pmod(F.xxhash64("c"), F.element_at(F.lit(chunks.tolist()), F.col("leaf") + 1)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
