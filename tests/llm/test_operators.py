@@ -302,10 +302,14 @@ def test_secrets_odd(odd, none):
     assert secrets.scan(none, secrets.train(none)).count() == 0
 
 
+def pseudonymised(df):
+    return pii.pseudonymised(df, "a test's key")
+
+
 def test_pii(spark):
     t = "mail Jo.99@mail8.example.com card 4041894974608795 bad 4041894974608796 ip 42.144.35.254. phone +1 (988) 555-2485 ssn 123-45-6789 on 2024-02-29 not 2023-02-29 nor 999.1.1.1"
     df = frame(spark, [(1, t, "s"), (2, "again 4041894974608795, 4041-8949-7460-8795", "s"), (3, "clean text 12 345", "s"), (4, None, "s"), (5, "", "s")])
-    got = {r.doc_id: r for r in pii.pseudonymised(df).collect()}
+    got = {r.doc_id: r for r in pseudonymised(df).collect()}
     a = got[1].text
     assert [got[1][f"n_{k}"] for k in pii.KINDS] == [1, 1, 1, 1, 1, 1]
     for secret in ("Jo.99@", "4041894974608795", "42.144.35.254", "988) 555-2485", "123-45-6789", "2024-02-29"):
@@ -323,7 +327,7 @@ def test_pii_beside_short_numbers(spark):
     """A rejected match does not hide the valid value within it or just behind it."""
     texts = ["call 555-123-4567 123 Main Street", "card 4041894974608795 123", "card 4111 1111 1111 1111 123", "10 20 30 40 50 60 70 4111 1111 1111 1111", "1112 4111 1111 1111 1111 x", "9 9 9 9 9 9 9 9 9 9 9 9 10.20.30.40 ok"]
     secret = ["555-123-4567", "4041894974608795", "4111 1111 1111 1111", "4111 1111 1111 1111", "4111 1111 1111 1111", "10.20.30.40"]
-    got = {r.doc_id: r for r in pii.pseudonymised(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    got = {r.doc_id: r for r in pseudonymised(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
     for i, s in enumerate(secret):
         before, after = texts[i].split(s)
         assert s not in got[i].text and got[i].text.startswith(before) and got[i].text.endswith(after), got[i].text
@@ -333,15 +337,15 @@ def test_pii_beside_short_numbers(spark):
 def test_pii_permutes(spark):
     """Different values keep different pseudonyms over a whole small domain."""
     days = spark.range(0, 3000).select(F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
-    assert pii.pseudonymised(days).select("text").distinct().count() == 3000
+    assert pseudonymised(days).select("text").distinct().count() == 3000
     nums = spark.range(0, 1000).select(F.concat(F.lit("+1 (200) 555-"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("text"))
-    assert pii.pseudonymised(nums).where("n_phone = 1").select("text").distinct().count() == 1000
+    assert pseudonymised(nums).where("n_phone = 1").select("text").distinct().count() == 1000
 
 
 def test_pii_odd(odd, none):
-    got = pii.pseudonymised(odd)
+    got = pseudonymised(odd)
     assert got.count() == 10 and got.exceptAll(got.where("n_ip = 0 and n_card = 0")).count() == 0 and got.columns[:5] == odd.columns[:5]
-    assert pii.pseudonymised(none).count() == 0
+    assert pseudonymised(none).count() == 0
 
 
 def test_licences(spark):
@@ -364,6 +368,15 @@ NOTICES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of Foo, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "EPL": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.',
 }
 

@@ -9,9 +9,9 @@ sequence names a licence and uses up the identifiers, so a longer text's rule co
 rules of its parts. Identifiers that no rule uses are reported as unmatched.
 
 DataFrame functions only. Edge cases: null, empty and licence-free texts have no licence and no
-identifier; a sentence that occurs several times is reported once per licence; repeated rows are
-scanned each; an empty table gives an empty result. Extra columns are left out unless named in
-``keep``.
+identifier; a sentence that occurs several times is reported once per licence; texts of any length
+are scanned whole; of rules that tie the first listed wins; repeated rows are scanned each; an
+empty table gives an empty result. Extra columns are left out unless named in ``keep``.
 """
 
 from __future__ import annotations
@@ -49,6 +49,24 @@ SENTENCES = [
     ("GplRef3", "(this \\w+ is )?(licensed|released|distributed|available) under the( terms of the)? gnu general public license version 3( 0)?"),
     ("GplRef2", "(this \\w+ is )?(licensed|released|distributed|available) under the( terms of the)? gnu general public license version 2( 0)?"),
     ("GplRef", "(this \\w+ is )?(licensed|released|distributed|available) under the( terms of the)? gnu general public license"),
+    ("GplFree2", "(this program|it) is free software you can redistribute it and or modify it under the terms of the gnu general public license.*version 2 .*"),
+    ("LgplFree", "(this library|this program|it) is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license.*version [23].*"),
+    ("AgplFree", "(this program|it) is free software you can redistribute it and or modify it under the terms of the gnu affero general public license.*version 3.*"),
+    ("LgplNoWarranty", "this library is distributed in the hope that it will be useful but without any warranty.*"),
+    ("IscPermission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("IscAsIs", "the software is provided as is and (the author|isc|\\w+) disclaims all warranties with regard to this software.*"),
+    ("ZlibAsIs", "this software is provided as is without any express or implied warranty"),
+    ("ZlibPermission", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely.*"),
+    ("Unlicense", "this is free and unencumbered software released into the public domain"),
+    ("Cc0Waived", "to the extent possible under law .* waived all copyright and related or neighboring rights to .*"),
+    ("Cc0Ref", "(this \\w+ is )?(licensed|released|distributed|available) under( the)? (cc0|creative commons zero)( 1 0)?( universal)?( license)?"),
+    ("EplAvailable", "this program and the accompanying materials are made available under the terms of the eclipse public license( version)? v?[12]( 0)?.*"),
+    ("SpdxIsc", "spdx license identifier isc"),
+    ("SpdxEpl2", "spdx license identifier epl 2 0"),
+    ("SpdxAgpl3", "spdx license identifier agpl 3 0( only| or later)?"),
+    ("SpdxLgpl", "spdx license identifier lgpl [23] [01]( only| or later)?"),
+    ("SpdxUnlicense", "spdx license identifier unlicense"),
+    ("SpdxCc0", "spdx license identifier cc0 1 0"),
     ("GplFree", "(this program|it) is free software you can redistribute it and or modify it under the terms of the gnu general public license.*version 3.*"),
     ("GplNoWarranty", "this program is distributed in the hope that it will be useful but without any warranty.*"),
     ("MplRef2", "(this \\w+ is )?(licensed|released|distributed|available) under the( terms of the)? mozilla public license( version| v)? 2( 0)?"),
@@ -66,6 +84,18 @@ RULES = [
     ("BSD-3-Clause", "BsdRedistribution,BsdSource,BsdBinary,BsdEndorse,"),
     ("BSD-2-Clause", "BsdRedistribution,BsdSource,BsdBinary,"),
     ("GPL-3.0", "GplFree,(GplNoWarranty,)?"),
+    ("GPL-2.0", "GplFree2,(GplNoWarranty,)?"),
+    ("LGPL", "LgplFree,(LgplNoWarranty,|GplNoWarranty,)?"),
+    ("AGPL-3.0", "AgplFree,(GplNoWarranty,)?"),
+    ("ISC", "IscPermission,(IscAsIs,)?"),
+    ("Zlib", "(ZlibAsIs,)?ZlibPermission,"),
+    ("EPL", "(AllRights,)?EplAvailable,"),
+    ("Unlicense", "(Unlicense|SpdxUnlicense),"),
+    ("CC0-1.0", "(Cc0Waived|Cc0Ref|SpdxCc0),"),
+    ("ISC", "SpdxIsc,"),
+    ("EPL", "SpdxEpl2,"),
+    ("AGPL-3.0", "SpdxAgpl3,"),
+    ("LGPL", "SpdxLgpl,"),
     ("Apache-2.0", "(ApacheRef2|SpdxApache2),"),
     ("MIT", "(MitRef|SpdxMit),"),
     ("BSD-3-Clause", "SpdxBsd3,"),
@@ -90,7 +120,7 @@ WRAPPED_HINT = "(?is)" + HINT.replace(" ", "[^a-z0-9]+")
 # Marks of a wrapped line, ':' or ';', of a sentence's end, and of an empty line.
 WRAP, END, GAP = "\x01", "\x02", "\x03"
 #: what the ``.*`` within a sentence may cross; those of other sentences stay within a line
-ACROSS = {"GplFree": f"[^{END}{GAP}]*?", "BsdEndorse": f"[^{GAP}]*?"}
+ACROSS = {**dict.fromkeys(("GplFree", "GplFree2", "LgplFree", "AgplFree", "Cc0Waived"), f"[^{END}{GAP}]*?"), "BsdEndorse": f"[^{GAP}]*?"}
 
 
 def normalised(text: Column) -> Column:

@@ -12,8 +12,12 @@ The two halves add modulo their own sizes, so a domain of a * b values is permut
 without walking cycles. DataFrame functions only.
 
 Edge cases: null texts stay null, empty ones empty; values that fail validation stay as they are;
-repeated rows are rewritten alike; an empty table gives an empty result. All other columns are
-kept; the text column keeps its place.
+of values that tie for a place the longer kind in the order of ``FIRM`` goes first; texts of any
+length are rewritten whole; repeated rows are rewritten alike; an empty table gives an empty result.
+All other columns are kept, but for such as are named like the counts, which these replace; the
+text column keeps its place.
+
+Whoever knows the key can invert the pseudonyms, so it has no default: keep it as a secret.
 """
 
 from __future__ import annotations
@@ -24,7 +28,6 @@ from pyspark.sql import functions as F
 from tidemark.llm import _spans
 
 ROUNDS = 10
-KEY = "replace this key"
 KINDS = ("email", "date", "ssn", "ip", "card", "phone")
 
 # How each kind is written.
@@ -242,7 +245,7 @@ def _numbers(run: Column, key: str) -> Column:
     return F.when(run.rlike(NUMBERS), _spans.let(F.concat(*[valid(k, p) for k, p in FIRM]), cut)).otherwise(_plain(run))
 
 
-def pseudonyms(text: Column, key: str = KEY) -> Column:
+def pseudonyms(text: Column, key: str) -> Column:
     """array<struct<kind, value>>: the pieces of ``text``, with pseudonyms of their kind for valid values and kind null for all else."""
     email = PATTERNS["email"]
     mails = F.transform(_spans.matches(text, email), lambda v: F.array(_piece(F.lit("email"), _email(v, key))))
@@ -253,7 +256,7 @@ def _count(kinds: str, kind: str) -> Column:
     return F.coalesce(F.size(F.filter(kinds, lambda x: x == kind)), F.lit(0)).cast("long")
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with the text rewritten, and one count per kind: n_email, n_date, n_ssn, n_ip, n_card, n_phone."""
     names = [f"n_{k}" for k in KINDS]
     rest = [c for c in docs.columns if c not in names]

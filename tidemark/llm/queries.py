@@ -20,6 +20,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's key for pseudonyms; the synthetic test tables hold no secrets, so they may do with a known one."""
+    return spark.conf.get("spark.tidemark.pseudonymKey", "key of the synthetic tables")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its toxicity score, learnt from the labelled documents that are not held out."""
     from tidemark.llm import toxicity
@@ -78,7 +83,7 @@ def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by pseudonyms of the same format."""
     from tidemark.llm import pii
 
-    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ A window travels as 72 bits of hash; its bucket adds the bits of an independent
 
 Order is by doc_id, null last. Edge cases: null texts have no words; texts under ``width`` words
 have no window and stay whole; rows with equal doc_id are told apart by their text, those equal
-in both are one document and get the same result each; an empty table gives an empty result.
+in both are one document and get the same result each; texts of any length are cut whole; windows
+that tie in their words go to the smallest doc_id, then the earliest start; an empty table gives an
+empty result.
 Extra columns are left out unless named in ``keep``.
 """
 
@@ -203,7 +205,9 @@ def remove_repeats(docs: DataFrame, width: int = 20, keep: tuple[str, ...] = ("d
     spark = docs.sparkSession
     fields = [f.name for f in docs.select(*keep).schema]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    base = docs.select(F.struct(*keep).alias("kept"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("doc"), _common.text_of(docs).alias("text"))
+    base = docs.select(F.struct(*keep).alias("kept"), _common.text_of(docs).alias("text"), docs["doc_id"].cast("long").alias("doc"))
+    # rows without an id come last and are told apart by 31 bits more
+    base = base.withColumn("doc", F.coalesce("doc", F.lit(_LAST) - F.pmod(F.xxhash64("text", F.lit(3)), F.lit(2**31))))
     base = base.withColumn("tkey", F.hash("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(2 * _common.shuffle_partitions(spark), -(-size // BUCKET_BYTES))
