@@ -7,6 +7,8 @@ kept, reads give the stored values back.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -36,6 +38,13 @@ def cut(points: DataFrame, capacity: int) -> DataFrame:
     return ranked.withColumn("segment_id", F.expr(f"__rank div {capacity}L")).drop("__bin", "__first", "__rank")
 
 
+@lru_cache(maxsize=64)
+def _basis(n: int) -> np.ndarray:
+    """Orthonormal polynomials of degree 0, 1 ... on the grid of n samples, a column each."""
+    x = np.linspace(-1.0, 1.0, n)
+    return np.linalg.qr(np.polynomial.legendre.legvander(x, min(MAX_DEGREE, n - 1)))[0]
+
+
 def _candidates(v: np.ndarray) -> list[dict]:
     """Models that describe the samples, each with its size and relative error."""
     n, spread = len(v), float(v.max() - v.min())
@@ -47,7 +56,12 @@ def _candidates(v: np.ndarray) -> list[dict]:
     if spread > 0 and np.abs(v - line).max() / spread < 0.01:
         out.append({"kind": "linear", "coef": [float(v[0]), float(v[-1])], "size": 16, "error": float(np.abs(v - line).max() / spread)})
     var = float(v.var())
-    for degree in range(2, min(MAX_DEGREE, n - 1) + 1):
+    # what each degree leaves over, by an orthonormal basis of the grid; only the first that is good enough is fitted
+    part = _basis(n).T @ (v - v.mean())
+    left = 1 - np.cumsum(part**2) / (n * var)
+    for degree in np.flatnonzero(left <= POLY_ERROR * (1 + 1e-6)).tolist():
+        if degree < 2:
+            continue
         c = np.polynomial.polynomial.polyfit(x, v, degree)
         error = float(((np.polynomial.polynomial.polyval(x, c) - v) ** 2).mean() / var)
         if error <= POLY_ERROR:
