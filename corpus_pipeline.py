@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a
 DataFrame that is written as Parquet and read again for the next one. All but the last return the
 columns of ``documents``.
+
+Edge cases, in every stage: null and empty texts are documents without words and are kept by the
+toxicity stage, one of them stays after near-dedup, and they pack as the end id alone; very long
+texts are worked on whole; rows that repeat are near copies, of which the smallest doc_id and text
+hash stays; a null doc_id counts as the last; extra columns go, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
