@@ -1,8 +1,12 @@
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.database import Database
+from tidemark.functions import frames, sealing
+from tidemark.operators import cells
 from tidemark.streaming import metrics
 
 
@@ -75,3 +79,52 @@ def test_stream(spark, tmp_path):
     assert [r.counter for r in got][:2] == [30, 30] and got[0].gauge == 29 and got[0].cardinality == 3
     metrics.persisted(metrics.cumulative(stream), str(tmp_path / "all"), str(tmp_path / "ck2"), "complete").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "all")).first().counter == 80
+
+
+def test_sealed(spark, tmp_path):
+    """What is put comes back with the key; without it nothing is readable on storage and another key is refused."""
+    key = sealing.derive_key(b"pass", rounds=1000)
+    assert key == sealing.derive_key(b"pass", rounds=1000) != sealing.derive_key(b"pass", b"other", rounds=1000) and len(key) == 32
+    with Database.open(spark, str(tmp_path), key=key) as db:
+        db.put_batch([(t, 2.5 * t) for t in range(-10, 50)])
+        db.put_frame(spark.createDataFrame([(100, float("nan")), (101, None)], "t long, v float"))
+        db.put_blobs([(b"a", b"secret value"), (b"b", b"long " * 100)])
+        db.put_blob(b"a", b"newer")
+        db.delete_blob(b"b")
+        db.fit(20)
+    with Database.open(spark, str(tmp_path), key=key) as db:
+        assert db.get(-3) == -7.5 and db.scan(0, 9).count() == 10 and np.isnan(db.get(100)) and db.get(101) is None
+        assert db.get_blob(b"a") == b"newer" and db.get_blob(b"b") is None
+        assert db.compact_blobs() and db.get_blob(b"a") == b"newer"
+        assert db.stats()["total_segments"] >= 3
+    raw = b"".join(p.read_bytes() for p in tmp_path.rglob("*.parquet"))
+    assert b"secret value" not in raw and b"newer" not in raw
+    with pytest.raises(Exception):
+        Database.open(spark, str(tmp_path), key=bytes(32)).get(-3)
+    with pytest.raises(ValueError):
+        Database.open(spark, str(tmp_path), key=b"short")
+
+
+def test_cells(spark, tmp_path):
+    """Keyframes and deltas lie apart; the first value of a cell and version stays."""
+    db = Database.open(spark, str(tmp_path))
+    rows = spark.createDataFrame([(i, float(i)) for i in range(64)], "code int, v float").coalesce(1)
+    db.put_cells(rows, 1)
+    db.put_cells(rows.withColumn("v", F.col("v") + 1), 1)
+    db.put_cells(rows.where("code < 8"), 70000)
+    db.put_cells(rows.where("code < 2"), 3, cells.DELTAS)
+    got = {(r.code, r.version): r.v for r in db.cells().collect()}
+    assert len(got) == 72 and got[5, 1] == 5 and got[5, 70000 & 0xFFFF] == 5
+    assert db.cells(cells.DELTAS).count() == 2
+    assert {r.code for r in db.cell_region((0, 0, 0), (1, 1, 0)).collect()} == {0, 1, 2, 3}
+
+
+def test_frames(spark):
+    df = spark.createDataFrame([(bytearray(b"payload"),), (bytearray(b""),), (None,)], "d binary")
+    for kind in (frames.CRC32, frames.XXH64):
+        made = df.select("d", frames.frame(F.col("d"), kind).alias("f"))
+        for r in made.select("d", "f", frames.status(F.col("f"), kind).alias("s"), frames.body(F.col("f")).alias("b")).collect():
+            assert (r.s, r.b) == ((None, None) if r.d is None else ("ok", r.d))
+            if r.d is not None:
+                assert bytes(r.f[:12]) == frames.MAGIC + len(r.d).to_bytes(8, "little") and len(r.f) == 30 + len(r.d)
+                assert kind or int.from_bytes(r.f[22:30], "little") == zlib.crc32(r.d)

@@ -8,9 +8,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import sealing
+from tidemark.operators import cells as cell_store
 from tidemark.operators import keyvalue, models, series
 
 _POINTS = "series string, t long, v float, seq long"
+_SEALED = "series string, sealed binary, seq long"
 _BLOBS = "k binary, kind int, payload binary, seq long"
 
 
@@ -23,15 +26,20 @@ class Database:
 
     Blobs lie in numbered versions of one table. A compaction writes the next version; readers take
     the newest that is complete, so a crash in between leaves the old one in force.
+
+    With a ``key`` (16, 24 or 32 bytes, see ``sealing.derive_key``) times, values, blobs and models are
+    sealed on storage; names of series and keys of blobs stay readable. Bounds on time then cannot
+    prune files.
     """
 
-    def __init__(self, spark: SparkSession, path: str, name: str = "default"):
+    def __init__(self, spark: SparkSession, path: str, name: str = "default", key: bytes | None = None):
         self.spark, self.path, self.series_name = spark, path.rstrip("/"), name
+        self._key = None if key is None else sealing.check_key(key)
         self._last: dict[str, int] = {}  # largest number stored in each table, once asked for
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, name: str = "default") -> Database:
-        return cls(spark, path, name)
+    def open(cls, spark: SparkSession, path: str, name: str = "default", key: bytes | None = None) -> Database:
+        return cls(spark, path, name, key)
 
     def __enter__(self) -> Database:
         return self
@@ -63,16 +71,25 @@ class Database:
         return list(range(base, base + count))
 
     def points(self) -> DataFrame:
-        return self._read("points", _POINTS).where(F.col("series") == self.series_name)
+        return self._all_points().where(F.col("series") == self.series_name)
+
+    def _all_points(self) -> DataFrame:
+        if self._key is None:
+            return self._read("points", _POINTS)
+        return sealing.opened_points(self._read("points", _SEALED), self._key)
+
+    def _append(self, points: DataFrame) -> None:
+        rows = points if self._key is None else sealing.sealed_points(points, self._key)
+        rows.write.mode("append").parquet(f"{self.path}/points")
 
     def put(self, t: int, v: float) -> None:
         self.put_batch([(t, v)])
 
     def put_batch(self, rows: Iterable[tuple[int, float]]) -> None:
         rows = list(rows)
-        seq = self._numbered("points", self._read("points", _POINTS), len(rows))
+        seq = self._numbered("points", self._all_points(), len(rows))
         data = [(self.series_name, int(t), float(v), n) for (t, v), n in zip(rows, seq, strict=True)]
-        self.spark.createDataFrame(data, _POINTS).write.mode("append").parquet(f"{self.path}/points")
+        self._append(self.spark.createDataFrame(data, _POINTS))
 
     def put_numpy(self, t: np.ndarray, v: np.ndarray) -> None:
         if t.ndim != 1 or t.shape != v.shape:
@@ -84,10 +101,24 @@ class Database:
 
         A partition takes 2**33 numbers, so the numbers last for some 10**9 partitions.
         """
-        base = self._next("points", self._read("points", _POINTS))
+        self._put_rows(points.withColumn("series", F.lit(self.series_name)))
+
+    def _put_rows(self, points: DataFrame) -> None:
+        base = self._next("points", self._all_points())
         del self._last["points"]  # the next put asks the table
-        rows = points.select(F.lit(self.series_name).alias("series"), F.col("t").cast("long"), F.col("v").cast("float"), (F.monotonically_increasing_id() + base).alias("seq"))
-        rows.write.mode("append").parquet(f"{self.path}/points")
+        rows = points.select("series", F.col("t").cast("long"), F.col("v").cast("float"), (F.monotonically_increasing_id() + base).alias("seq"))
+        self._append(rows)
+
+    def put_cells(self, rows: DataFrame, version: int, kind: str = cell_store.KEYFRAMES) -> None:
+        """Append values of space cells (code, v) under a version, as keyframes or deltas."""
+        self._put_rows(cell_store.stored(rows.withColumn("seq", F.lit(0)), F.lit(version), kind))
+
+    def cells(self, kind: str = cell_store.KEYFRAMES) -> DataFrame:
+        """code, version, v of what is stored."""
+        return cell_store.values(self._all_points().where(F.col("series") == kind))
+
+    def cell_region(self, low: tuple[int, int, int], high: tuple[int, int, int], kind: str = cell_store.KEYFRAMES) -> DataFrame:
+        return cell_store.region(self._all_points().where(F.col("series") == kind), low, high)
 
     def query(self) -> series.SeriesQuery:
         return series.SeriesQuery(self.points())
@@ -111,14 +142,20 @@ class Database:
 
     def fit(self, capacity: int = 1000, lossless: bool = False) -> DataFrame:
         """Fit models to all points and write them as the segments table."""
-        path = f"{self.path}/segments"
-        models.fitted(self.points(), capacity, lossless).write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        rows = models.fitted(self.points(), capacity, lossless)
+        rows = rows if self._key is None else sealing.sealed_rows(rows, self._key)
+        rows.write.mode("overwrite").parquet(f"{self.path}/segments")
+        return self.segments()
+
+    def segments(self) -> DataFrame:
+        """The fitted models."""
+        rows = self.spark.read.parquet(f"{self.path}/segments")
+        return rows if self._key is None else sealing.opened_rows(rows, self._key, models.fitted(self.points(), 1).schema)
 
     def stats(self) -> dict:
         """Segments and their sizes, if models were fitted, and what is stored of points and blobs: rows, tables and bytes."""
         fs, folder = self._folder(f"{self.path}/segments")
-        fitted = models.stats(self.spark.read.parquet(f"{self.path}/segments")).first().asDict() if fs.exists(folder) else {"total_segments": 0}
+        fitted = models.stats(self.segments()).first().asDict() if fs.exists(folder) else {"total_segments": 0}
         stored = {"points": self.points().count(), "blob_tables": len(self._versions())}
         for table in ("points", "blobs"):
             fs, folder = self._folder(f"{self.path}/{table}")
@@ -141,9 +178,20 @@ class Database:
     def _table(self) -> str:
         return f"blobs/v{max(self._versions(), default=0)}"
 
-    def blobs(self) -> DataFrame:
+    def _log(self) -> DataFrame:
+        """The blob table as it lies on storage."""
         return self._read(self._table(), _BLOBS)
 
+    def blobs(self) -> DataFrame:
+        if self._key is None:
+            return self._log()
+        return self._log().withColumn("payload", sealing.unseal(F.col("payload"), self._key, F.col("k"), F.col("seq")))
+
+    def _append_blobs(self, rows: DataFrame) -> None:
+        if self._key is not None:
+            rows = rows.withColumn("payload", sealing.seal(F.col("payload"), self._key, F.col("k"), F.col("seq")))
+        rows.write.mode("append").parquet(f"{self.path}/{self._table()}")
+
     def put_blob(self, key: bytes, value: bytes) -> None:
         self.put_blobs([(key, value)])
 
@@ -151,11 +199,11 @@ class Database:
         rows = list(rows)
         seq = self._numbered("blobs", self.blobs(), len(rows))
         df = self.spark.createDataFrame([(k, v, n) for (k, v), n in zip(rows, seq, strict=True)], "k binary, v binary, seq long")
-        keyvalue.puts(df).write.mode("append").parquet(f"{self.path}/{self._table()}")
+        self._append_blobs(keyvalue.puts(df))
 
     def delete_blob(self, key: bytes) -> None:
         seq = self._numbered("blobs", self.blobs(), 1)[0]
-        keyvalue.deletes(self.spark.createDataFrame([(key, seq)], "k binary, seq long")).write.mode("append").parquet(f"{self.path}/{self._table()}")
+        self._append_blobs(keyvalue.deletes(self.spark.createDataFrame([(key, seq)], "k binary, seq long")))
 
     def get_blob(self, key: bytes) -> bytes | None:
         row = keyvalue.get(self.blobs(), key).select(keyvalue.decoded("kind", "payload").alias("v")).first()
@@ -181,7 +229,7 @@ class Database:
             return False
         done = max(self._versions(), default=0)
         self._next("blobs", self.blobs())  # numbers go on though tombstones leave
-        keyvalue.compacted(self.blobs()).write.mode("overwrite").parquet(f"{self.path}/blobs/v{done + 1}")
+        keyvalue.compacted(self._log()).write.mode("overwrite").parquet(f"{self.path}/blobs/v{done + 1}")
         for n in self._versions()[:-1]:
             fs, folder = self._folder(f"{self.path}/blobs/v{n}")
             fs.delete(folder, True)

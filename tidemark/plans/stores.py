@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import keys
+from tidemark.functions import frames, keys, sealing
+from tidemark.operators import cells as cell_store
 from tidemark.operators import compaction, keyvalue, metrics, versions
 from tidemark.sources import tables
 
@@ -151,6 +152,52 @@ def _cells() -> None:
 
     _add("sealed_round_trip", sealed, "SELECT event_id, props FROM events")
 
+    def sealed_scan(s: SparkSession, d: str) -> DataFrame:
+        """Points as an encrypted database stores them, opened again."""
+        key = b"0123456789abcdef0123456789abcdef"
+        return sealing.opened_points(sealing.sealed_points(tables.points_from_events(s, d), key), key)
+
+    _add("sealed_points_scan", sealed_scan, "SELECT event_type AS series, epoch_us(ts) AS t, CAST(value AS FLOAT) AS v, event_id AS seq FROM events")
+
+    def versioned(s: SparkSession, d: str, kind: str) -> DataFrame:
+        """A keyframe or delta per event; the day of the year is the version."""
+        e = cells(s, d).join(tables.table(s, d, "events").select("event_id", F.dayofyear("ts").alias("day")), "event_id")
+        return cell_store.stored(e.withColumn("seq", F.col("event_id")).drop("event_id"), F.col("day"), kind)
+
+    each = f"{sql}, e AS (SELECT c.*, CAST(date_part('doy', ts) AS INT) AS version FROM c JOIN events USING (event_id)), f AS (SELECT code, version, arg_min(v, event_id) AS v FROM e GROUP BY 1, 2)"
+    _add("cell_keyframes", lambda s, d: cell_store.values(versioned(s, d, cell_store.KEYFRAMES)), f"WITH {each} SELECT code, version, CAST(v AS FLOAT) AS v FROM f")
+    _add("cell_region", lambda s, d: cell_store.region(versioned(s, d, cell_store.KEYFRAMES), low, high), f"WITH {each}, b AS (SELECT DISTINCT code FROM c WHERE x BETWEEN 10 AND 60 AND y BETWEEN 0 AND 40 AND z BETWEEN 0 AND 120) SELECT code, version, CAST(v AS FLOAT) AS v FROM f SEMI JOIN b USING (code)")
+
+    def mixed(s: SparkSession, d: str) -> DataFrame:
+        """Sign-ups are keyframes and all other events deltas of the cell of a user: how far each cell has gone."""
+        e = tables.table(s, d, "events")
+        user = F.expr("cast(user_id % 4096 as int)").alias("code")
+        rows = e.select(user, F.dayofyear("ts").alias("day"), F.col("value").alias("v"), F.col("event_id").alias("seq"), "event_type")
+        kinds = [cell_store.stored(rows.where(c), F.col("day"), k) for c, k in (("event_type = 'signup'", cell_store.KEYFRAMES), ("event_type <> 'signup'", cell_store.DELTAS))]
+        return cell_store.current(kinds[0].union(kinds[1])).withColumn("added", F.round("added", 3))
+
+    user = "SELECT CAST(user_id % 4096 AS INT) AS code, CAST(date_part('doy', ts) AS INT) AS version, arg_min(CAST(value AS FLOAT), event_id) AS v FROM events WHERE event_type"
+    _add("cell_current", mixed, f"WITH k AS ({user} = 'signup' GROUP BY 1, 2), d AS ({user} <> 'signup' GROUP BY 1, 2), n AS (SELECT code, max(version) AS version, arg_max(v, version) AS base FROM k GROUP BY 1) SELECT n.code, n.version, base, round(coalesce(sum(CAST(d.v AS DOUBLE)), 0), 3) AS added FROM n LEFT JOIN d ON d.code = n.code AND d.version > n.version GROUP BY 1, 2, 3")
+
+    def framed(s: SparkSession, d: str) -> DataFrame:
+        """Every event's props in a frame, damaged in one of four ways or not: what a reader says of each."""
+        e = tables.table(s, d, "events").select("event_id", F.coalesce(F.col("props"), F.lit("")).cast("binary").alias("data"))
+        f = e.withColumn("frame", frames.frame(F.col("data"))).withColumn("other", frames.frame(F.concat("data", F.lit(b"x"))))
+        way = F.col("event_id") % 8
+        f = f.withColumn(
+            "frame",
+            F.when(way == 0, F.substring("frame", 1, 20))
+            .when(way == 1, F.overlay("frame", F.lit(b"?"), 1))
+            .when(way == 2, F.overlay("frame", F.substring("other", 5, 8), 5))
+            .when(way == 3, F.concat("frame", F.lit(b"x")))
+            .when(way == 4, F.overlay("frame", F.substring("other", 22, 9), 22))
+            .otherwise(F.col("frame")),
+        )
+        f = f.withColumn("status", frames.status(F.col("frame")))
+        return f.select("event_id", "status", F.when(F.col("status") == "ok", frames.body(F.col("frame")).cast("string")).alias("props"))
+
+    _add("frame_verify", framed, "SELECT event_id, coalesce((['short', 'magic', 'header', 'length', 'data'])[event_id % 8 + 1], 'ok') AS status, CASE WHEN event_id % 8 > 4 THEN coalesce(props, '') END AS props FROM events")
+
 
 def _plans() -> None:
     seg = "s AS (SELECT event_id // 1000 AS segment_id, count(*) * 12 AS size, CAST((event_id // 1000) % 3 AS INT) AS level FROM events GROUP BY 1, 3), z AS (SELECT level, count(*) AS files, sum(size) AS bytes FROM s GROUP BY 1)"
