@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import ann, fingerprints, licences, mixing, neardup, packing, pii, secrets, substrings, toxicity
+from tidemark.llm import _words, ann, fingerprints, licences, mixing, neardup, packing, pii, secrets, substrings, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -70,6 +70,21 @@ def test_repeats_odd(odd, none):
     assert [r.n_words - r.n_removed for r in got if r.doc_id == 6] == [1]
 
 
+def test_substrings_frequent_run(spark):
+    """A run of four words that is in most windows: its windows go to many buckets, and the result stays the same."""
+    rng = random.Random(8)
+    run = lambda c: substrings._least(_words.words(np.frombuffer(c.encode(), np.uint8), np.array([0, len(c)])).hashes(5), 4)[0]
+    common = min((f"alpha beta gamma d{k}" for k in range(100)), key=run)  # small, so that it is the smallest where it occurs
+    texts = [" ".join(f"{common} w{rng.randrange(3000)} w{rng.randrange(3000)}" for _ in range(60)) for _ in range(60)]
+    made = [(i, f"{t} {texts[i // 2]}" if i % 3 else t) for i, t in enumerate(texts)] + [(100 + i, texts[i]) for i in range(5)]
+    df = frame(spark, [(d, t, "s") for d, t in made]).repartition(3)
+    base = df.select(F.col("doc_id").alias("doc"), "text")
+    runs, parts = substrings.frequent_runs(base, 20, sum(len(t) for _, t in made), 4000)
+    assert len(runs) >= 1 and parts.max() >= 4
+    got = {tuple(r) for r in substrings.remove_repeats(df, bucket_bytes=4000).collect()}
+    assert got == set(brute.repeats(made)) == {tuple(r) for r in substrings.remove_repeats(df).collect()}
+
+
 def test_near_duplicates(docs, rows):
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
     assert got == brute.classes(rows)

@@ -7,6 +7,11 @@ keeps the first of its own equal windows, marks the others as repeats at once, a
 packed row per bucket; a bucket then marks every window that starts earlier elsewhere. Marked
 windows merge into maximal intervals per document, and the words outside them are kept.
 
+A word run that is the smallest in very many windows would fill one bucket. Such runs are counted
+first, and their windows are dealt by the hash of the whole window into as many buckets as their
+number asks for. The count decides only where windows meet, never whether. At most 2**20 runs are
+that frequent in a table of any size, so their list is small.
+
 A window travels as 72 bits of hash; its bucket adds the bits of an independent hash.
 
 Order is by doc_id, null last. Edge cases: null texts have no words; texts under ``width`` words
@@ -60,22 +65,31 @@ def _ties(h: np.ndarray, g: np.ndarray, order: np.ndarray) -> np.ndarray:
     return same
 
 
+def _starts(count: np.ndarray, first: np.ndarray, width: int, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start in the row and place in all words of every window of the rows ``by``."""
+    by = by[count[by] >= width]
+    n = count[by] - width + 1
+    row = np.repeat(by, n)
+    start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return row, start, start + first[row]
+
+
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The smallest hash of a short word run in every window."""
+    grams = _words.window_hashes(_words.mixed(h, 3), GRAM)
+    return sliding_min(grams, width - GRAM + 1) if len(grams) else grams
+
+
 class Windows:
     """Windows of some documents in the order (doc_id, tkey, start)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tkey: np.ndarray, width: int):
         w = _words.words(data, offsets)
-        h, count = w.hashes(5), w.count
-        grams = _words.window_hashes(_words.mixed(h, 3), GRAM)
-        least = sliding_min(grams, width - GRAM + 1) if len(grams) else grams
+        h = w.hashes(5)
+        least = _least(h, width)
         hashes = _words.window_hashes(h, width)
         second = _words.window_hashes(_words.mixed(h, 9), width) >> _words.U(56)
-        by = np.lexsort((tkey, doc))
-        by = by[count[by] >= width]
-        n = count[by] - width + 1
-        self.row = np.repeat(by, n)
-        self.start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        at = self.start + w.first[self.row]
+        self.row, self.start, at = _starts(w.count, w.first, width, np.lexsort((tkey, doc)))
         self.hash, self.check, self.least = hashes[at], second[at].astype(np.uint8), least[at]
         self.doc, self.tkey = doc[self.row], tkey[self.row]
 
@@ -147,12 +161,48 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     return h, g, np.repeat(np.cumsum(doc), length), np.repeat(tkey.astype(np.int32), length), np.repeat(start, length) + within
 
 
-def repeated_windows(docs: DataFrame, width: int, n_buckets: int) -> DataFrame:
+def frequent_runs(docs: DataFrame, width: int, size: int, bucket_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word runs that are the smallest of more windows than a bucket should hold, and how many buckets each takes."""
+    share = max(1, bucket_bytes // 4)  # windows; a text of so many bytes a bucket has fewer
+    bound = max(share, size >> 21)  # a window takes two bytes or more, so 2**20 runs at most reach this
+    slices = size // BATCH_BYTES + docs.sparkSession.sparkContext.defaultParallelism
+    floor = max(1, bound // (4 * slices))  # a run that reaches the bound has most of its windows above it
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in _words.slices(batch.column("text"), BATCH_BYTES):
+                w = _words.words(data, offsets)
+                at = _starts(w.count, w.first, width, np.arange(len(w.count)))[2]
+                if not len(at):
+                    continue
+                least = _least(w.hashes(5), width)[at]
+                head, n = _runs(np.append(True, least[1:] != least[:-1]))
+                run, back = np.unique(least[head], return_inverse=True)
+                total = np.bincount(back, n).astype(np.int64)
+                much = total >= floor
+                yield pa.RecordBatch.from_arrays([pa.array(run[much].view(np.int64)), pa.array(total[much])], names=["run", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    found = sorted((r["run"] & (2**64 - 1), r["n"]) for r in counted.where(F.col("n") >= bound).collect())
+    return np.array([x for x, _ in found], _words.U), np.array([-(-n // share) for _, n in found], _words.U)
+
+
+def repeated_windows(docs: DataFrame, width: int, n_buckets: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Runs of windows that also start earlier: doc, tkey, starts, runs; several rows per document.
 
-    ``docs`` has columns doc (long), tkey (int) and text.
+    ``docs`` has columns doc (long), tkey (int) and text; ``frequent`` is what ``frequent_runs`` gives.
     """
 
+    def bucket_of(least: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        runs, parts = frequent
+        out = least % _words.U(n_buckets)
+        if len(runs):
+            at = np.minimum(np.searchsorted(runs, least), len(runs) - 1)
+            hot = runs[at] == least
+            part = _words.mixed(whole[hot], 11) % parts[at[hot]]
+            out[hot] = _words.mixed(least[hot] + part, 13) % _words.U(n_buckets)
+        return out.astype(np.int32)
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tkey = batch.column("doc").to_numpy(), batch.column("tkey").to_numpy()
@@ -161,7 +211,7 @@ def repeated_windows(docs: DataFrame, width: int, n_buckets: int) -> DataFrame:
                 again = _first_of_equal(w.hash, w.check, w.doc, w.tkey, w.start)
                 own = _marks(w.doc[again], w.tkey[again], w.start[again])
                 firsts = np.flatnonzero(~again)
-                bucket = (w.least[firsts] % _words.U(n_buckets)).astype(np.int32)
+                bucket = bucket_of(w.least[firsts], w.hash[firsts])
                 order = np.argsort(bucket, kind="stable")
                 heads, sizes = _runs(np.diff(bucket[order], prepend=-1) != 0)
                 blobs = [_packed(w, firsts[order[i : i + n]]) for i, n in zip(heads.tolist(), sizes.tolist(), strict=True)]
@@ -200,7 +250,7 @@ def repeated_windows(docs: DataFrame, width: int, n_buckets: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(meet, fields)
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 20, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: ``keep``, n_words, n_removed, kept_sha256, and the kept text if asked for."""
     spark = docs.sparkSession
     fields = [f.name for f in docs.select(*keep).schema]
@@ -210,8 +260,8 @@ def remove_repeats(docs: DataFrame, width: int = 20, keep: tuple[str, ...] = ("d
     base = base.withColumn("doc", F.coalesce("doc", F.lit(_LAST) - F.pmod(F.xxhash64("text", F.lit(3)), F.lit(2**31))))
     base = base.withColumn("tkey", F.hash("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(2 * _common.shuffle_partitions(spark), -(-size // BUCKET_BYTES))
-    marks = repeated_windows(base, width, n_buckets)
+    n_buckets = max(2 * _common.shuffle_partitions(spark), -(-size // bucket_bytes))
+    marks = repeated_windows(base, width, n_buckets, frequent_runs(base, width, size, bucket_bytes))
     marks = marks.groupBy("doc", "tkey").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("runs")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
