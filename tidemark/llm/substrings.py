@@ -247,7 +247,8 @@ def repeated_windows(docs: DataFrame, width: int, n_buckets: int, frequent: tupl
 
     fields = "doc long, tkey int, starts array<int>, runs array<int>"
     rows = docs.select("doc", "tkey", "text").mapInArrow(spread, f"bucket int, {fields}, blob binary")
-    return rows.groupBy("bucket").applyInArrow(meet, fields)
+    parts = max(_common.shuffle_partitions(docs.sparkSession), n_buckets // 8)  # tasks grow in number, not in size
+    return rows.repartition(parts, "bucket").groupBy("bucket").applyInArrow(meet, fields)
 
 
 def remove_repeats(docs: DataFrame, width: int = 20, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
