@@ -72,3 +72,29 @@ def test_filled_rounds_its_bounds(spark):
     got = {r.bucket: r.value for r in series.filled(b, 10, 33, 57).collect()}
     assert got == {30: 10, 40: None, 50: 10}
     assert [r.bucket for r in series.filled(b, 10, -15, 5).orderBy("bucket").collect()] == [-10, 0]
+
+
+def test_moving_mean(spark):
+    """Against the plain definition: shared times, both signs, gaps, nulls in time and value, values that no sum may be taken from."""
+    rows = [(s, t, v, i) for i, (s, t, v) in enumerate(
+        [("a", t, float(t % 7)) for t in range(-25, 40, 3)]
+        + [("a", 5, None), ("a", 5, 2.5), ("a", 15, 1e30), ("b", 0, 1.0), ("b", 10, 2.0), ("b", 21, None), ("c", None, 1.0), ("c", None, 3.0), ("c", 4, 8.0), ("d", 2**60 - 1, 1.0), ("d", 2**60, 5.0), ("d", 2**60 + 10, 6.0)]
+        + [("e", 0, math.inf), ("e", 11, 1.0), ("e", 12, 3.0)]
+    )]
+    p = spark.createDataFrame(rows, "series string, t long, v double, seq long")
+
+    def plain(s, t):
+        seen = [v for s2, t2, v, _ in rows if s2 == s and v is not None and (t2 is None if t is None else t2 is not None and t - 10 <= t2 <= t)]
+        return math.fsum(seen) / len(seen) if seen else None
+
+    got = {r.seq: r.mean for r in series.moving(p, 10).collect()}
+    assert len(got) == len(rows)
+    for s, t, _, i in rows:
+        want = plain(s, t)
+        assert got[i] == want or math.isclose(got[i], want, rel_tol=1e-12), (s, t)
+
+
+def test_moving_mean_takes_no_frame_again(spark):
+    """Frames only grow, so work does not grow with the points in a frame."""
+    plan = series.moving(linear(spark), 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RangeFrame, unboundedpreceding$(), currentrow$())" in plan and "RangeFrame, -10" not in plan

@@ -152,11 +152,22 @@ class SeriesQuery:
 def moving(points: DataFrame, width: int, by: tuple[str, ...] = ("series",)) -> DataFrame:
     """Mean of the points of the last ``width`` time units, within each series.
 
-    Time is cut into bins of ``width``; a point also goes to the next bin, where it is only looked
-    back at. So a series is spread over as many tasks as it has bins.
+    Time is cut into bins of ``width``, so the points looked back at are the last ones of the bin
+    before and the first ones of the point's own. Both are running sums, one backward and one forward:
+    a point costs the same however many it looks back at, and no sum is taken from another. So a series
+    is spread over as many tasks as it has bins. Points without a time look back at each other.
     """
-    bin_ = F.floor(F.col("t") / width)
-    both = points.withColumn("__bin", F.explode(F.array(bin_, bin_ + 1)))
-    w = Window.partitionBy(*by, "__bin").orderBy("t").rangeBetween(-width, 0)
-    out = both.withColumn("mean", F.avg(F.col("v").cast("double")).over(w))
-    return out.where(F.col("__bin") == bin_).drop("__bin")
+    bin_ = F.expr(f"(t - pmod(t, {width}L)) div {width}L")
+    own = F.struct(bin_.alias("bin"), F.col("t").alias("at"), F.lit(True).alias("own"))
+    halo = F.struct((bin_ + 1).alias("bin"), (F.col("t") + width).alias("at"), F.lit(False).alias("own"))
+    both = points.withColumn("__p", F.explode(F.array(own, halo))).where("__p.own or t is not null")
+    v = F.col("v").cast("double")
+    w = Window.partitionBy(*by, "__p.bin")
+    # rows of one time are all in
+    upto = w.orderBy(F.asc("__p.at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    since = w.orderBy(F.desc("__p.at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    mine, before = F.when(F.col("__p.own"), v), F.when(~F.col("__p.own"), v)
+    total = F.coalesce(F.sum(mine).over(upto), F.lit(0.0)) + F.coalesce(F.sum(before).over(since), F.lit(0.0))
+    n = F.count(mine).over(upto) + F.count(before).over(since)
+    out = both.withColumn("__sum", total).withColumn("__n", n).where("__p.own")
+    return out.withColumn("mean", F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n"))).drop("__p", "__sum", "__n")
