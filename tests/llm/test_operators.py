@@ -116,6 +116,20 @@ def test_near_duplicates_in_a_crowded_bucket(spark, limit):
     assert got == brute.classes(made)
 
 
+def test_near_duplicates_are_compared_once(spark, monkeypatch):
+    """Pairs and threes a little under the threshold share many bands: the first has been compared, the two others of a three meet once."""
+    seen, linked = [], neardup.linked
+    monkeypatch.setattr(neardup, "linked", lambda rows, *more: seen.append(rows.groupBy("g").agg(F.collect_set("node").alias("of")).collect()) or linked(rows, *more))
+    made = []
+    for k in range(30):
+        w = [f"w{k}x{i}" for i in range(200)]
+        made += [(len(made) + j, " ".join(w[:150] + [f"own{k}x{j}x{i}" for i in range(30)])) for j in range(2 + k % 2)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == {i: i for i, _ in made} == brute.classes(made)
+    again = [frozenset(r.of) for r in seen[1]]
+    assert again and len(again) == len(set(again)) <= 15 and {len(x) for x in again} == {2}
+
+
 def test_signatures_in_bounded_parts():
     """Long texts, heavy shingles and many short texts give the same darts in small parts as at once."""
     rng = np.random.default_rng(4)

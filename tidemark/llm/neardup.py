@@ -10,8 +10,8 @@ Signatures are cut into bands; documents that share a band are candidates.
 Documents of equal word sequence are one representative from the start. Each band bucket links
 its members to the first of them; every such pair is verified on the shingles, and verified pairs
 give classes. In buckets that still hold several classes, members are then compared across
-classes: a member looks only at those that share one of its rarest shingles, so many that whoever
-shares none of them cannot reach the threshold. A group gives at most one link for each of its
+classes, all but the first, and once for each set of members: a member looks only at those that
+share one of its rarest shingles, so many that whoever shares none of them cannot reach the threshold. A group gives at most one link for each of its
 classes, so the output never grows with the square of a bucket. A bucket of over ``GROUP_SHINGLES``
 shingles is first cut by the same rule over all members of such buckets: members meet by the rare
 shingles that they share, and only what is still too large is compared in pairs of blocks.
@@ -286,9 +286,10 @@ def _parted(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """Rows of the groups that hold several classes."""
-    keys = rows.groupBy("g").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("g")
-    return rows.join(keys, "g", "left_semi")
+    """Rows of the groups that hold several classes; of groups with the same members one stays, told apart by 128 bits of hash."""
+    of = [F.count("*").alias("members"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"set{i}") for i in (0, 1)]]
+    keys = rows.groupBy("g").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), *of).where("lo != hi")
+    return rows.join(keys.groupBy("lo", "hi", "members", "set0", "set1").agg(F.min("g").alias("g")).select("g"), "g", "left_semi")
 
 
 def _by_rare_shingles(members: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
@@ -343,8 +344,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, ban
     texts = whole.select("same", "rep", "node")
 
     member = whole.select("node", "n", F.explode("bands").alias("g"))
-    bucket = member.groupBy("g").agg(F.count("node").alias("members"), F.min("node").alias("a")).where("members > 1").select("g", "a")
-    crowd = _common.written(member.join(bucket, "g"), "buckets")
+    bucket = Window.partitionBy("g")  # one shuffle; to count first and join then would be two
+    crowd = member.withColumn("members", F.count("node").over(bucket)).withColumn("a", F.min("node").over(bucket))
+    crowd = _common.written(crowd.where("members > 1").select("g", "node", "n", "a"), "buckets")
     shingles = _common.written(_features_of(base, texts, crowd.select("node").distinct(), size), "shingles")
 
     # each member with the first of its bucket: a group for each first, in parts
@@ -355,8 +357,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, ban
     stars = pairs.unionByName(centres).select(F.xxhash64("a", "part").alias("g"), "node", F.col("node").alias("cls"), (F.col("node") == F.col("a")).alias("own"), "n")
     found = components(linked(stars, shingles, threshold))
 
-    # buckets that still hold several classes
-    mixed = _common.written(_several(_labelled(crowd.select("g", "node", "n"), found, label="cls")), "mixed")
+    # buckets that still hold several classes; all have been compared with the first
+    rest = crowd.where("node != a").select("g", "node", "n")
+    mixed = _common.written(_several(_labelled(rest, found, label="cls")), "mixed")
     large = mixed.groupBy("g").agg(F.sum("n").alias("all")).where(F.col("all") > group_shingles).select("g")
     hot = mixed.join(large, "g", "left_semi").select("node", "cls", "n").distinct()
     again = _several(_by_rare_shingles(hot, shingles, threshold))
