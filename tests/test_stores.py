@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys
@@ -81,6 +82,44 @@ def test_deadlock(spark):
     assert versions.deadlocked(chain).count() == 0
 
 
+@pytest.mark.parametrize("local", [0, 1_000_000])
+def test_deadlock_by_locks(spark, local):
+    """Against all paths of the wait-for graph; transactions with many locks, and with one key held and waited for."""
+    rng = random.Random(3)
+    rows = [(f"k{k}", t, rng.random() < 0.5) for t in range(60) for k in rng.sample(range(60), rng.choice([2, 2, 2, 4]))]
+    rows += [("own", 900, True), ("own", 900, False), ("two", 901, True), ("two", 901, False), ("two", 902, True), ("two", 902, False)]
+    rows += [(k, 903, g) for k in ("m1", "m2") for g in (True, False)] + [(None, 904, True), (None, 905, False), ("k1", None, False)]
+    held, edges = {(k, t) for k, t, g in rows if g and k and t is not None}, {}
+    for k, t, g in rows:
+        if not g and k and t is not None:
+            edges.setdefault(t, set()).update(h for k2, h in held if k2 == k and h != t)
+
+    def reach(t):
+        seen, todo = set(), [t]
+        while todo:
+            new = edges.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        return seen
+
+    want = sorted(t for t in edges if t in reach(t))
+    locks = spark.createDataFrame(rows, "key string, txn_id long, granted boolean")
+    assert 901 in want and 900 not in want and len(want) > 5
+    assert sorted(r.txn_id for r in versions.deadlocked_locks(locks, local).collect()) == want
+    assert sorted(r.txn_id for r in versions.deadlocked(versions.waits(locks), local).collect()) == want
+    assert versions.deadlocked_locks(locks.where("false"), local).count() == 0
+
+
+def test_deadlock_makes_no_pairs(spark, monkeypatch):
+    """A key with 300 waiters and 300 holders gives no more edges than locks."""
+    seen, kept = [], versions._kept
+    monkeypatch.setattr(versions, "_kept", lambda *a: seen.append(kept(*a)) or seen[-1])
+    rows = [("hot", t, t < 300) for t in range(600)] + [(f"back{t}", t, t >= 300) for t in range(600)] + [("back0", 300, True), ("back5", 301, True)]
+    locks = spark.createDataFrame(rows, "key string, txn_id long, granted boolean")
+    assert sorted(r.txn_id for r in versions.deadlocked_locks(locks).collect()) == [0, 5, 300, 301]
+    assert max(n for _, n in seen) <= len(rows)
+
+
 def test_commit_and_abort(spark):
     v = spark.createDataFrame([("x", 1, 10.0, None, 1), ("y", 1, 11.0, None, 2), ("x", 2, 20.0, None, 3), ("z", 3, 5.0, 4, 4)], "key string, txn_id long, value double, commit_ts long, seq long")
     t = versions.begun(spark.createDataFrame([(3, "committed", 0)], "txn_id long, status string, start_ts long"), spark.createDataFrame([(1, 5), (2, 6), (3, 7), (4, 8)], "txn_id long, start_ts long"))

@@ -8,9 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+LOCAL_EDGES = 1_000_000  # of a graph that one task takes apart alone
 
 
 def snapshot(versions: DataFrame, start_ts: int, me: int | None = None) -> DataFrame:
@@ -93,30 +99,95 @@ def _kept(df: DataFrame, counted: str = "true") -> tuple[DataFrame, int]:
     return spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
-def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+def _trimmed(edges: DataFrame, enough: int) -> tuple[DataFrame, int]:
     """``edges`` without those that no cycle can hold: from one that nobody waits for, or to one that waits for nobody; and how many are left.
 
-    Rounds go on while each takes at least a fiftieth: what remains of long chains is left to the labels.
+    Rounds go on while each takes at least a fiftieth and over ``enough`` are left: what remains of
+    long chains is left to the labels.
     """
     (left, n), before = _kept(edges), None
-    while n and (before is None or n <= 0.98 * before):
+    while n > enough and (before is None or n <= 0.98 * before):
         before = n
         waiters, holders = left.select(F.col("waiter").alias("holder")).distinct(), left.select(F.col("holder").alias("waiter")).distinct()
         left, n = _kept(left.join(waiters, "holder", "left_semi").join(holders, "waiter", "left_semi").select("waiter", "holder"))
     return left, n
 
 
-def deadlocked(edges: DataFrame) -> DataFrame:
-    """Transactions on a cycle of the wait-for graph (txn_id); those that merely wait for one are not.
-
-    Edges that no cycle can hold are trimmed. Then every transaction learns the largest one that
-    leads to it; where that is itself, it and all that lead back to it with the same label are a
-    strongly connected part. Parts are taken out until nothing is left. The loops end when nothing
-    changes, however long the chains; each round is written, so a lost executor costs one.
+def _strong(waiter: np.ndarray, holder: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the strongly connected parts of two and more, and the number of each one's part (Tarjan, without recursion)."""
+    node, flat = np.unique(np.concatenate([waiter, holder]), return_inverse=True)
+    a, b = flat[: len(waiter)], flat[len(waiter) :]
+    order = np.argsort(a, kind="stable")
+    to, first = b[order].tolist(), np.searchsorted(a[order], np.arange(len(node) + 1)).tolist()
+    n = len(node)
+    found, low, part, at, stack, seen = [0] * n, [0] * n, [-1] * n, first[:n], [], 0
+    for root in range(n):
+        if found[root]:
+            continue
+        path = [root]
+        while path:
+            v = path[-1]
+            if not found[v]:
+                seen += 1
+                found[v] = low[v] = seen
+                stack.append(v)
+            deeper = False
+            while at[v] < first[v + 1]:
+                w = to[at[v]]
+                if not found[w]:
+                    path.append(w)  # its low is taken over when this edge is looked at again
+                    deeper = True
+                    break
+                if part[w] < 0:
+                    low[v] = min(low[v], low[w])
+                at[v] += 1
+            if deeper:
+                continue
+            path.pop()
+            if low[v] == found[v]:
+                w = -1
+                while w != v:
+                    w = stack.pop()
+                    part[w] = v
+    head = np.array(part, np.int64)
+    many = np.bincount(head, minlength=n)[head] > 1 if n else np.zeros(0, bool)
+    return node[many], node[head[many]]
+
+
+def _local_parts(edges: DataFrame) -> DataFrame:
+    """v, part of few edges (waiter, holder: long), in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if ends:
+            v, part = _strong(*(np.concatenate(x) for x in zip(*ends, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(part)], names=["v", "part"])
+
+    return edges.select("waiter", "holder").repartition(1).mapInArrow(run, "v long, part long")
+
+
+def _parts(edges: DataFrame, local: int) -> DataFrame:
+    """v, part (one of its nodes) of every node in a strongly connected part of two and more of ``edges`` (waiter, holder, any type).
+
+    Edges that no cycle can hold are trimmed. At most ``local`` edges go to one task. More of them
+    are labelled: every node learns the largest one that leads to it; where that is itself, it and all
+    that lead back to it with the same label are a part. Parts are taken out until few edges are left.
+    The loops end when nothing changes, however long the chains; each round is written, so a lost
+    executor costs one.
     """
-    left, n = _trimmed(edges.where("waiter != holder").select("waiter", "holder").distinct())
-    out = edges.select(F.col("waiter").alias("txn_id")).where("false")
-    while n:
+    left, n = _trimmed(edges.where("waiter != holder").select("waiter", "holder").distinct(), local)
+    kind = left.schema["waiter"].dataType
+    if not isinstance(kind, T.LongType):
+        names, _ = _kept(left.select(F.explode(F.array("waiter", "holder")).alias("name")).distinct().withColumn("v", F.monotonically_increasing_id()))
+        numbered = left.join(names.withColumnsRenamed({"name": "waiter", "v": "a"}), "waiter").join(names.withColumnsRenamed({"name": "holder", "v": "b"}), "holder")
+        parts = _numbered_parts(*_kept(numbered.select(F.col("a").alias("waiter"), F.col("b").alias("holder"))), local)
+        return parts.join(names, "v").select(F.col("name").alias("v"), "part").join(names.withColumnsRenamed({"name": "head", "v": "part"}), "part").select("v", F.col("head").alias("part"))
+    return _numbered_parts(left, n, local)
+
+
+def _numbered_parts(left: DataFrame, n: int, local: int) -> DataFrame:
+    out = left.select(F.col("waiter").alias("v"), F.col("holder").alias("part")).where("false")
+    while n > local:
         label = left.select(F.explode(F.array("waiter", "holder")).alias("v")).distinct().withColumn("label", F.col("v"))
         moved = 1
         while moved:
@@ -135,9 +206,41 @@ def deadlocked(edges: DataFrame) -> DataFrame:
         waiter, holder = part.withColumnRenamed("v", "waiter"), part.withColumnRenamed("v", "holder")
         # a part of one has no edge within itself
         on = inner.join(waiter, "waiter", "left_semi").join(holder, "holder", "left_semi")
-        out = out.unionByName(_kept(on.select(F.explode(F.array("waiter", "holder")).alias("txn_id")).distinct())[0])
-        left, n = _trimmed(inner.join(waiter, "waiter", "left_anti").join(holder, "holder", "left_anti"))
-    return out
+        on = on.select(F.explode(F.array("waiter", "holder")).alias("v")).distinct().join(label, "v").withColumnRenamed("label", "part")
+        out = out.unionByName(_kept(on)[0])
+        left, n = _trimmed(inner.join(waiter, "waiter", "left_anti").join(holder, "holder", "left_anti"), local)
+    return out.unionByName(_kept(_local_parts(left))[0]) if n else out
+
+
+def deadlocked(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """Transactions on a cycle of the wait-for graph (txn_id), edges (waiter, holder); those that merely wait for one are not."""
+    return _parts(edges, local).select(F.col("v").alias("txn_id"))
+
+
+def deadlocked_locks(locks: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """``deadlocked`` of ``waits(locks)`` without the edges, which are as many as waiters times holders of each key.
+
+    The graph has the keys as nodes: a transaction leads from a key that it holds to one that it
+    waits for; one that does so with several on both sides is a node between them. Edges are at
+    most as many as locks. A transaction is on a cycle if the strongly connected part
+    that it lies in, which may be one key alone, has another one too.
+    """
+    lock = locks.where("txn_id is not null and key is not null").groupBy("txn_id", "key").agg(F.bool_or("granted").alias("holds"), F.bool_or(~F.col("granted")).alias("waits"))
+    both = lock.groupBy("txn_id").agg(F.count_if("holds").alias("nh"), F.count_if("waits").alias("nw")).where("nh > 0 and nw > 0")
+    node = F.struct("key", F.lit(None).cast(locks.schema["txn_id"].dataType).alias("txn_id"))
+    through = F.struct(F.lit(None).cast(locks.schema["key"].dataType).alias("key"), "txn_id")
+    lock, _ = _kept(lock.join(both, "txn_id").select("txn_id", "holds", "waits", node.alias("node"), through.alias("through"), F.expr("nh > 1 and nw > 1").alias("several")))
+    held = lock.where("holds").select("txn_id", F.col("node").alias("waiter"), "through", "several")
+    waited = lock.where("waits").select("txn_id", F.col("node").alias("holder"), "through", "several")
+    plain = held.where("not several").select("txn_id", "waiter").join(waited.where("not several").select("txn_id", "holder"), "txn_id")
+    into = held.where("several").select("txn_id", "waiter", F.col("through").alias("holder"))
+    out_of = waited.where("several").select("txn_id", F.col("through").alias("waiter"), "holder")
+    steps, _ = _kept(plain.unionByName(into).unionByName(out_of))
+    parts, _ = _kept(_parts(steps, local))
+    ends = steps.join(parts.withColumnsRenamed({"v": "waiter", "part": "a"}), "waiter", "left").join(parts.withColumnsRenamed({"v": "holder", "part": "b"}), "holder", "left")
+    within = ends.select("txn_id", F.coalesce("a", "waiter").alias("part"), F.coalesce("b", "holder").alias("b")).where("part = b").select("txn_id", "part").distinct()
+    several = within.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
+    return within.join(several, "part", "left_semi").select("txn_id")
 
 
 def commit_index(match: DataFrame, log: DataFrame, term: int, peers: int) -> DataFrame:

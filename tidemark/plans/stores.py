@@ -265,7 +265,7 @@ def _transactions() -> None:
         o = tables.table(s, d, "orders").where("o_orderstatus != 'P'")
         return o.select(F.col("o_custkey").alias("key"), F.expr("o_orderkey div 2").alias("txn_id"), (F.col("o_orderstatus") == "F").alias("granted"))
 
-    _add("lock_deadlock_cycle", lambda s, d: versions.deadlocked(versions.waits(held(s, d))), "WITH RECURSIVE k AS (SELECT o_custkey AS key, o_orderkey // 2 AS txn_id, o_orderstatus = 'F' AS granted FROM orders WHERE o_orderstatus != 'P'), e AS (SELECT DISTINCT a.txn_id AS waiter, b.txn_id AS holder FROM k a JOIN k b ON a.key = b.key AND NOT a.granted AND b.granted AND a.txn_id != b.txn_id), r AS (SELECT waiter, holder FROM e UNION SELECT r.waiter, e.holder FROM r JOIN e ON r.holder = e.waiter) SELECT DISTINCT waiter AS txn_id FROM r WHERE waiter = holder")
+    _add("lock_deadlock_cycle", lambda s, d: versions.deadlocked_locks(held(s, d)), "WITH RECURSIVE k AS (SELECT o_custkey AS key, o_orderkey // 2 AS txn_id, o_orderstatus = 'F' AS granted FROM orders WHERE o_orderstatus != 'P'), e AS (SELECT DISTINCT a.txn_id AS waiter, b.txn_id AS holder FROM k a JOIN k b ON a.key = b.key AND NOT a.granted AND b.granted AND a.txn_id != b.txn_id), r AS (SELECT waiter, holder FROM e UNION SELECT r.waiter, e.holder FROM r JOIN e ON r.holder = e.waiter) SELECT DISTINCT waiter AS txn_id FROM r WHERE waiter = holder")
 
     def decided(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         """New transactions begin for every open order; those of odd orders commit, of even ones abort."""
