@@ -130,6 +130,43 @@ def test_near_duplicates_are_compared_once(spark, monkeypatch):
     assert again and len(again) == len(set(again)) <= 15 and {len(x) for x in again} == {2}
 
 
+@pytest.mark.parametrize("limit", [600, 500_000])
+def test_near_duplicates_move_shingles_once(spark, monkeypatch, limit):
+    """Chains of texts meet in buckets of several firsts: shingles of what hangs together go to one group, and again only where classes are still apart."""
+    seen, linked = [], neardup.linked
+    monkeypatch.setattr(neardup, "linked", lambda rows, *more: seen.append([r.node for r in rows.select("node").collect()]) or linked(rows, *more))
+    made = []
+    for k in range(8):
+        w = [f"w{k}x{i}" for i in range(400)]
+        made += [(len(made) + j, " ".join(w[(8 + 7 * (k % 2)) * j :][:200])) for j in range(10)]  # near in each second chain, under the threshold in the others
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df, group_shingles=limit).collect()} == brute.classes(made)
+    assert len(seen) == 2 and len(set(seen[0])) > 60
+    if limit > 600:  # beyond the limit buckets are groups of their own
+        assert len(seen[0]) == len(set(seen[0])) and len(seen[1]) == len(set(seen[1]))
+
+
+def test_sifted_keeps_all_that_is_wanted(spark):
+    """None of the wanted keys is lost, few others come along, and columns and repeated rows stay."""
+    rows = spark.range(60_000, numPartitions=3).select(F.col("id").alias("node"), F.lit("x").alias("block")).repartition(4)
+    for wanted in (spark.range(0, 60_000, 7), spark.range(3), spark.range(0)):
+        want = {r.id for r in wanted.collect()}
+        got = neardup._sifted(rows.union(rows), F.col("node"), wanted.select(F.col("id").alias("key"))).collect()
+        count = collections.Counter(r.node for r in got)
+        assert want <= set(count) and set(count.values()) <= {2} and len(count) <= 1.02 * len(want) + 600 * bool(want)
+        assert not got or got[0].asDict().keys() == {"node", "block"}
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    """Rows repeated in many partitions, with an id and without one, stand for one text each."""
+    w = [f"w{i}" for i in range(120)]
+    made = [(3, " ".join(w)), (4, " ".join(w[:60] + ["x"] + w[60:])), (5, " ".join(w[5:])), (None, " ".join(w[1:]))]
+    df = spark.createDataFrame(made * 6, "doc_id long, text string").repartition(9)
+    got = neardup.near_duplicates(df).collect()
+    assert collections.Counter((r.doc_id, r.class_id) for r in got) == {(i, 3): 6 for i in (3, 4, 5, None)}
+    assert [r.doc_id for r in neardup.deduplicated(df).collect()] == [3]
+
+
 def test_signatures_in_bounded_parts():
     """Long texts, heavy shingles and many short texts give the same darts in small parts as at once."""
     rng = np.random.default_rng(4)

@@ -9,12 +9,17 @@ Signatures are cut into bands; documents that share a band are candidates.
 
 Documents of equal word sequence are one representative from the start. Each band bucket links
 its members to the first of them; every such pair is verified on the shingles, and verified pairs
-give classes. In buckets that still hold several classes, members are then compared across
-classes, all but the first, and once for each set of members: a member looks only at those that
-share one of its rarest shingles, so many that whoever shares none of them cannot reach the threshold. A group gives at most one link for each of its
-classes, so the output never grows with the square of a bucket. A bucket of over ``GROUP_SHINGLES``
-shingles is first cut by the same rule over all members of such buckets: members meet by the rare
-shingles that they share, and only what is still too large is compared in pairs of blocks.
+give classes. Where a bucket still holds several classes, its members, all but the first, are then
+compared across classes: a member looks only at those that share one of its rarest shingles, so
+many that whoever shares none of them cannot reach the threshold. A group gives at most one link
+for each of its classes, so the output never grows with the square of a bucket.
+
+Shingles are most of what is moved. Buckets that hang together by common members are one group,
+so each text's shingles go there once and, if its classes are still several, once again. What hangs
+together by over ``GROUP_SHINGLES`` shingles is compared bucket by bucket, once for each set of
+members; a bucket of over that many is first cut by the rule of the rarest shingles over all members of
+such buckets: members meet by the rare shingles that they share, and only what is still too large is
+compared in pairs of blocks.
 
 No pair of different texts that shares a band is left out; a pair at the threshold shares none
 with a probability of (1 - 0.8**6)**40 = 5e-6. Shingles are told apart by 64 bits of hash.
@@ -34,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import _common, _words
@@ -45,7 +50,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
 CELLS = 400_000  # of darts that are thrown at once
 GROUP_SHINGLES = 500_000  # of the texts that one task compares at once
-BROADCAST_NODES = 1_000_000
+BLOCK_BITS, BLOCKS, PROBES = 32_768, 8_192, 3  # of the filter that picks out the texts to look at again
 _LAST = 2**63 - 1
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 12.0)])))
 _CDF = (_POISSON * 2.0**53).astype(np.uint64)
@@ -163,38 +168,56 @@ def _sameness(w: _words.Words) -> list[bytes]:
 
 
 def features(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """same, h (shingle hashes in rising order) and c (their counts) of each text."""
+    """same, h (shingle hashes in rising order) and c (their counts) of each text, once in each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for _, _, data, offsets in _words.slices(batch.column("text")):
                 w = _words.words(data, offsets)
                 h, n, begin = weighted_shingles(w, size)
                 at = pa.array(begin.astype(np.int32))
                 lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (h.view(np.int64), n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(_sameness(w), pa.binary()), *lists], names=["same", "h", "c"])
+                same = _sameness(w)
+                new = [not (x in seen or seen.add(x)) for x in same]
+                yield pa.RecordBatch.from_arrays([pa.array(same, pa.binary()), *lists], names=["same", "h", "c"]).filter(pa.array(new, pa.bool_()))
 
     return docs.select("text").mapInArrow(run, "same binary, h array<long>, c array<int>")
 
 
-def _features_of(docs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node, h, c of ``nodes`` (column node); only documents that stand for one are looked at again."""
-    ends = texts.join(nodes, "node", "left_semi")
-    reps = ends.select(F.col("rep.doc").alias("rep_doc")).distinct()
-    reps = F.broadcast(reps) if nodes.count() <= BROADCAST_NODES else reps  # a number of each
-    chosen = docs.join(reps, docs["doc"] == reps["rep_doc"], "left_semi")
-    # repeated rows, and other texts of a chosen doc_id, go here
-    return features(chosen, size).join(ends.select("same", "node"), "same").dropDuplicates(["node"]).select("node", "h", "c")
+def _sifted(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is in ``wanted`` (column key, longs), and about one in 200 of the others; ``rows`` are not shuffled.
 
-
-def linked(rows: DataFrame, shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    A Bloom filter of 16 bits for each key is broadcast in blocks, 32 MB at most; past that many keys
+    more of the others come along.
+    """
+    blocks = min(BLOCKS, -(-wanted.count() * 16 // BLOCK_BITS) or 1)
+    block = lambda k: F.pmod(F.xxhash64(k, F.lit(0)), F.lit(blocks)).cast("int")
+    bits = lambda k: [F.pmod(F.xxhash64(k, F.lit(i)), F.lit(BLOCK_BITS)) for i in range(1, PROBES + 1)]
+    held = wanted.select(block(F.col("key")).alias("__block"), F.explode(F.array(*bits(F.col("key")))).alias("bit"))
+    held = held.repartition("__block").groupBy("__block").agg(F.bitmap_construct_agg("bit").alias("__held"))
+    at = {f"__bit{i}": x for i, x in enumerate(bits(F.col("__key")))}
+    full = rows.withColumn("__key", key).withColumns({"__block": block(F.col("__key"))} | at).join(F.broadcast(held), "__block")
+    for x in at:
+        full = full.where(F.expr(f"shiftright(cast(conv(hex(substring(__held, cast({x} div 8 as int) + 1, 1)), 16, 10) as int), {x} % 8) % 2 = 1"))
+    return full.select(*rows.columns)
+
+
+def _features_of(docs: DataFrame, ends: DataFrame, size: int) -> DataFrame:
+    """``ends`` (same, rep, more) with h and c in place of rep; only documents that stand for one are looked at again."""
+    chosen = _sifted(docs, F.xxhash64("doc", F.xxhash64("text")), ends.select(F.xxhash64("rep.doc", "rep.tkey").alias("key")))
+    # repeated rows, and a few other texts, go here; one shuffle for the join and for leaving out repeats
+    return features(chosen, size).join(ends.drop("rep").hint("merge"), "same").dropDuplicates(["same"]).drop("same")
+
+
+def linked(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links (a, b) between members of different classes within each group, enough to join all classes that belong together.
 
-    ``rows``: g (group), node, cls, own, n; members with ``own`` are compared with all of the
-    group. ``shingles``: node, h, c. Groups are dealt into bins of about ``GROUP_SHINGLES``.
+    ``rows``: g (group), node, cls, own, n, h, c; members with ``own`` are compared with all of the
+    group. Groups are dealt into bins of about ``GROUP_SHINGLES``.
     """
     bins = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // GROUP_SHINGLES))
-    full = rows.join(shingles, "node").withColumn("bin", F.pmod(F.xxhash64("g"), F.lit(bins)))
+    full = rows.withColumn("bin", F.pmod(F.xxhash64("g"), F.lit(bins)))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.select(["g", "node", "cls", "own", "h", "c"]).combine_chunks().sort_by("g")
@@ -299,7 +322,7 @@ def _by_rare_shingles(members: DataFrame, shingles: DataFrame, threshold: float)
     rarest until the rest weighs less than ``threshold`` of it. Two members that reach the threshold
     share one of these.
     """
-    each = members.join(shingles, "node").select("node", "cls", "n", F.explode(F.arrays_zip("h", "c")).alias("e")).select("node", "cls", "n", F.col("e.h").alias("h"), F.col("e.c").alias("c"))
+    each = _with_shingles(members, shingles).select("node", "cls", "n", F.explode(F.arrays_zip("h", "c")).alias("e")).select("node", "cls", "n", F.col("e.h").alias("h"), F.col("e.c").alias("c"))
     each = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
     order = Window.partitionBy("node").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, 0)
     upto = each.withColumn("upto", F.sum("c").over(order)).withColumn("whole", F.sum("c").over(Window.partitionBy("node")))
@@ -307,6 +330,29 @@ def _by_rare_shingles(members: DataFrame, shingles: DataFrame, threshold: float)
     return rare.select(F.xxhash64("h", F.lit(5)).alias("g"), "node", "cls", "n")
 
 
+def _with_shingles(rows: DataFrame, shingles: DataFrame) -> DataFrame:
+    """``rows`` with h and c of their node; of the shingles only theirs are shuffled."""
+    return rows.join(_sifted(shingles.select("node", "h", "c"), F.col("node"), rows.select(F.col("node").alias("key")).distinct()), "node")
+
+
+def _stars(pairs: DataFrame, ends: DataFrame, limit: int) -> DataFrame:
+    """Each member with the first of its bucket, a group for each first, in parts: g, node, cls, own, n."""
+    firsts = pairs.groupBy("a").agg(F.ceil(F.sum("n") / limit).cast("int").alias("parts"))
+    pairs = pairs.join(firsts, "a").select("a", "node", "n", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    centres = firsts.join(ends.select(F.col("node").alias("a"), "n"), "a").select("a", F.col("a").alias("node"), "n", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return pairs.unionByName(centres).select(F.xxhash64("a", "part").alias("g"), "node", F.col("node").alias("cls"), (F.col("node") == F.col("a")).alias("own"), "n")
+
+
+def _crowded(mixed: DataFrame, shingles: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """The buckets ``mixed`` as groups, those of over ``limit`` shingles cut: g, node, cls, own, n."""
+    large = mixed.groupBy("g").agg(F.sum("n").alias("all")).where(F.col("all") > limit).select("g")
+    groups = mixed.join(large, "g", "left_anti").select("g", "node", "cls", F.lit(True).alias("own"), "n")
+    hot = _common.written(mixed.join(large, "g", "left_semi").select("node", "cls", "n").distinct(), "hot")
+    if not hot.limit(1).count():
+        return groups
+    return _parted(_several(_by_rare_shingles(hot, shingles, threshold)), limit).unionByName(groups)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) as (node, class), class the smallest node: rounds of large stars and small stars.
 
@@ -347,24 +393,32 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, ban
     bucket = Window.partitionBy("g")  # one shuffle; to count first and join then would be two
     crowd = member.withColumn("members", F.count("node").over(bucket)).withColumn("a", F.min("node").over(bucket))
     crowd = _common.written(crowd.where("members > 1").select("g", "node", "n", "a"), "buckets")
-    shingles = _common.written(_features_of(base, texts, crowd.select("node").distinct(), size), "shingles")
-
-    # each member with the first of its bucket: a group for each first, in parts
     pairs = crowd.where("node != a").select("a", "node", "n").distinct()
-    firsts = pairs.groupBy("a").agg(F.ceil(F.sum("n") / group_shingles).cast("int").alias("parts"))
-    pairs = pairs.join(firsts, "a").select("a", "node", "n", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    centres = firsts.join(whole.select(F.col("node").alias("a"), "n"), "a").select("a", F.col("a").alias("node"), "n", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    stars = pairs.unionByName(centres).select(F.xxhash64("a", "part").alias("g"), "node", F.col("node").alias("cls"), (F.col("node") == F.col("a")).alias("own"), "n")
-    found = components(linked(stars, shingles, threshold))
+
+    # buckets that hang together, a group where they are small enough
+    net = components(pairs.select("a", F.col("node").alias("b")))
+    nodes = crowd.groupBy("node").agg(F.first("n").alias("n"), F.max(F.col("node") == F.col("a")).alias("first"))
+    ends = _common.written(texts.join(_labelled(nodes, net, label="net"), "node"), "ends")
+    shingles = _common.written(_features_of(base, ends, size), "shingles")
+    wide = ends.groupBy("net").agg(F.sum("n").alias("all")).where(F.col("all") > group_shingles).select("net")
+    wide = _common.written(wide, "wide")  # fewer than shingles / group_shingles
+    some = bool(wide.limit(1).count())
+
+    # each member with the first of its bucket
+    groups = shingles.join(F.broadcast(wide), "net", "left_anti").select(F.xxhash64("net").alias("g"), "node", F.col("node").alias("cls"), F.col("first").alias("own"), "n", "h", "c")
+    if some:
+        inner = shingles.join(F.broadcast(wide), "net", "left_semi").select("node", "h", "c")
+        groups = groups.unionByName(_stars(pairs.join(inner.select("node"), "node", "left_semi"), ends, group_shingles).join(inner, "node"))
+    found = components(linked(groups, threshold))
 
     # buckets that still hold several classes; all have been compared with the first
     rest = crowd.where("node != a").select("g", "node", "n")
-    mixed = _common.written(_several(_labelled(rest, found, label="cls")), "mixed")
-    large = mixed.groupBy("g").agg(F.sum("n").alias("all")).where(F.col("all") > group_shingles).select("g")
-    hot = mixed.join(large, "g", "left_semi").select("node", "cls", "n").distinct()
-    again = _several(_by_rare_shingles(hot, shingles, threshold))
-    groups = _parted(again, group_shingles).unionByName(mixed.join(large, "g", "left_anti").select("g", "node", "cls", F.lit(True).alias("own"), "n"))
-    links = linked(_common.written(groups, "groups"), shingles, threshold)
+    mixed = _common.written(_labelled(_several(_labelled(rest, found, label="cls")), net, label="net"), "mixed")
+    groups = mixed.join(F.broadcast(wide), "net", "left_anti").select(F.xxhash64("net").alias("g"), "node", "cls", F.lit(True).alias("own"), "n").distinct()
+    if some:
+        groups = groups.unionByName(_crowded(mixed.join(F.broadcast(wide), "net", "left_semi"), shingles, threshold, group_shingles))
+    groups = _common.written(groups, "groups")
+    links = linked(_with_shingles(groups, shingles), threshold)
     links = _labelled(_labelled(links, found, "a", "ca"), found, "b", "cb")
     found = _merged(found, components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
     texts = _labelled(texts, found)
