@@ -167,6 +167,17 @@ def test_near_duplicates_of_repeated_rows(spark):
     assert [r.doc_id for r in neardup.deduplicated(df).collect()] == [3]
 
 
+def test_near_duplicates_of_texts_with_many_rare_shingles(spark, monkeypatch):
+    """Large buckets whose members share hundreds of rare shingles: shingles are sent a bounded number of times, not once for each."""
+    seen, linked, rng = [], neardup.linked, random.Random(5)
+    monkeypatch.setattr(neardup, "linked", lambda rows, *more: seen.append(rows.select("node").count()) or linked(rows, *more))
+    shared, phrases = [f"s{i}" for i in range(200)], [[f"p{k}x{i}" for i in range(20)] for k in range(12)]
+    made = [(i, " ".join(shared + [w for k in sorted(rng.sample(range(12), 3)) for w in phrases[k]] + [f"own{i}x{j}" for j in range(40)])) for i in range(60)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df, group_shingles=2_000).collect()} == brute.classes(made)
+    assert 0 < seen[1] <= 60 * 16
+
+
 def test_signatures_in_bounded_parts():
     """Long texts, heavy shingles and many short texts give the same darts in small parts as at once."""
     rng = np.random.default_rng(4)

@@ -19,7 +19,7 @@ so each text's shingles go there once and, if its classes are still several, onc
 together by over ``GROUP_SHINGLES`` shingles is compared bucket by bucket, once for each set of
 members; a bucket of over that many is first cut by the rule of the rarest shingles over all members of
 such buckets: members meet by the rare shingles that they share, and only what is still too large is
-compared in pairs of blocks.
+compared in pairs of blocks, or at once if that sends fewer shingles.
 
 No pair of different texts that shares a band is left out; a pair at the threshold shares none
 with a probability of (1 - 0.8**6)**40 = 5e-6. Shingles are told apart by 64 bits of hash.
@@ -347,10 +347,17 @@ def _crowded(mixed: DataFrame, shingles: DataFrame, threshold: float, limit: int
     """The buckets ``mixed`` as groups, those of over ``limit`` shingles cut: g, node, cls, own, n."""
     large = mixed.groupBy("g").agg(F.sum("n").alias("all")).where(F.col("all") > limit).select("g")
     groups = mixed.join(large, "g", "left_anti").select("g", "node", "cls", F.lit(True).alias("own"), "n")
-    hot = _common.written(mixed.join(large, "g", "left_semi").select("node", "cls", "n").distinct(), "hot")
+    hot = _common.written(mixed.join(large, "g", "left_semi").select("net", "node", "cls", "n").distinct(), "hot")
     if not hot.limit(1).count():
         return groups
-    return _parted(_several(_by_rare_shingles(hot, shingles, threshold)), limit).unionByName(groups)
+    rare = _common.written(_several(_by_rare_shingles(hot, shingles, threshold)), "rare")
+    # a text can have hundreds of rare shingles: what hangs together goes whole, in pairs of blocks, if that sends less
+    sent = rare.join(hot.select("node", "net"), "node").groupBy("net").agg(F.sum("n").alias("sent"))
+    whole = hot.groupBy("net").agg(F.sum("n").alias("all")).join(sent, "net")
+    nets = _common.written(whole.where(F.col("all") * F.ceil(F.col("all") / (limit / 2)) < F.col("sent")).select("net"), "nets")
+    apart = rare.join(hot.join(F.broadcast(nets), "net", "left_anti").select("node"), "node", "left_semi")
+    blocks = hot.join(F.broadcast(nets), "net", "left_semi").select(F.xxhash64("net").alias("g"), "node", "cls", "n")
+    return _parted(apart.unionByName(blocks), limit).unionByName(groups)
 
 
 def components(edges: DataFrame) -> DataFrame:
