@@ -7,6 +7,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -644,6 +645,36 @@ def test_packing_parts_repeated_rows(spark, tokenizer):
     assert len(full) == 3001 // 64 and len(set(full)) == len(full) and all(r.offset == 0 for r in got if r.length == 64)
 
 
+def test_packing_memory(tokenizer):
+    """A worker needs little memory beside its text, whether that is in short texts or in one long one."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 12))) for _ in range(5000)]
+    ids_of = packing.word_ids(tokenizer)
+    for texts in ([" ".join(rng.choices(words, k=300)) + "." for _ in range(4000)], [" ".join(rng.choices(words, k=500_000))]):
+        column = pa.array(texts)
+        tracemalloc.start()
+        sizes = [len(packing.token_ids(ids_of, data, offsets)[0]) for _, _, data, offsets in _words.slices(column, packing.SLICE_BYTES)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(sizes) > 500_000 and peak < 160e6, peak
+
+
+def test_packing_blocks(tokenizer, monkeypatch):
+    """Words on both sides of a block's border, and longer than a block, have the ids of the tokenizer."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer)
+    texts = ["", "One, two. Été ÉTÉ; çA x", " \t", "long" * 300 + ", end.", "日本語 mixed x2 ... , .", "one two One, two."]
+    data, offsets = (lambda raw: (np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))([x.encode() for x in texts])
+    want = [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    for size in (1, 7, 40, 1 << 17):
+        monkeypatch.setattr(packing, "BLOCK_BYTES", size)
+        ids, begin = packing.token_ids(packing.WordIds(tokenizer), data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] == want
+
+
 def test_packing_odd(odd, none, tokenizer):
     got = packing.packed_documents(odd, tokenizer).collect()
     assert sum(r.length == 1 for r in got if r.doc_id in (2, 3, 4)) == 3

@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -35,7 +36,8 @@ from tidemark.llm import _words
 
 END_ID = 1
 CACHE_WORDS = 150_000
-SLICE_BYTES = 4 << 20  # larger slices repeat fewer words
+SLICE_BYTES = 2 << 20  # larger slices repeat fewer words
+BLOCK_BYTES = 1 << 17  # of words that are hashed at once, as that takes several numbers for each byte
 GROUP_PIECES = 20_000
 BYTES_PER_TOKEN = 2  # at least, of usual texts; only the number of groups follows from it
 
@@ -48,7 +50,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordIds:
-    """Ids of white-space separated words, remembered in bounded caches.
+    """Ids of white-space separated words, as bytes of unsigned 32-bit numbers, remembered in bounded caches.
 
     The tokenizer drops white space and never merges over it, so a text's ids are those of its
     words in turn; it has no capital letters. Plain Latin words go straight to the model, a comma
@@ -62,10 +64,10 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words: dict[bytes, list[int]] = {}
-        self.stems: dict[bytes, list[int]] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
 
-    def of_stems(self, stems: list[bytes]) -> list[list[int]]:
+    def of_stems(self, stems: list[bytes]) -> list[bytes]:
         """Ids of words of Latin letters, in small letters."""
         known, model = self.stems, self.model
         if len(known) + len(stems) > CACHE_WORDS:
@@ -75,16 +77,16 @@ class WordIds:
             if ids is None:
                 x = stems[i]
                 word = x.decode() if x.isascii() else x.decode("latin1").translate(self.letters)
-                out[i] = known[x] = [t.id for t in model.tokenize(word)]
+                out[i] = known[x] = array("I", [t.id for t in model.tokenize(word)]).tobytes()
         return out
 
-    def of_words(self, words: list[bytes]) -> list[list[int]]:
+    def of_words(self, words: list[bytes]) -> list[bytes]:
         known = self.words
         if len(known) + len(words) > CACHE_WORDS:
             known.clear()
         new = [x for x in words if x not in known]
         for x, e in zip(new, self.tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False), strict=True):
-            known[x] = e.ids
+            known[x] = array("I", e.ids).tobytes()
         return [known[x] for x in words]
 
 
@@ -97,8 +99,9 @@ def word_ids(path: str) -> WordIds:
 def _ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """flat[start:start+length] of every row, one after another."""
     ends = np.cumsum(length)
-    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
-    return flat[at + np.repeat(start, length)]
+    at = np.repeat(start - (ends - length), length)
+    at += np.arange(len(at))
+    return flat[at]
 
 
 _LETTER = np.zeros(256, bool)
@@ -124,56 +127,74 @@ def _small(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return small, letter
 
 
-def _units(data: np.ndarray, small: np.ndarray, letter: np.ndarray, w: _words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, whether it is of Latin letters, two hashes and word of each unit: a Latin word, the mark behind it, or any other word."""
-    mark = _MARK[data[w.end - 1]] & (w.end - w.start > 1)
-    stop = w.end - mark
-    letters = np.concatenate([[0], np.cumsum(letter)])
-    plain = letters[stop] - letters[w.start] == stop - w.start
+def _block_units(data: np.ndarray, small: np.ndarray, letter: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    mark = _MARK[data[last - 1]] & (last - first > 1)
+    stop = last - mark
+    letters = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(letter, out=letters[1:])
+    plain = letters[stop] - letters[first] == stop - first
     mark &= plain
-    stop = np.where(plain, stop, w.end)
+    stop = np.where(plain, stop, last)
     word = np.repeat(np.arange(len(mark)), 1 + mark)
     second = np.zeros(len(word), bool)
     second[1:] = word[1:] == word[:-1]
-    start, end = np.where(second, stop[word], w.start[word]), np.where(second, w.end[word], stop[word])
+    start, end = np.where(second, stop[word], first[word]), np.where(second, last[word], stop[word])
     plain = plain[word] & ~second
     hashes = []
     for seed in (2, 3):
         low, exact = (_words.Ranges.of(_words.codes(seed)[x], _words.WORD_BASE) for x in (small, data))
         hashes.append(_words.mixed(np.where(plain, low.hashes(start, end), exact.hashes(start, end)) + plain, seed))
-    return start, end, plain, np.stack(hashes), word
+    return start, end, plain, *hashes, word
+
+
+def _units(data: np.ndarray, small: np.ndarray, letter: np.ndarray, w: _words.Words) -> tuple[np.ndarray, ...]:
+    """Start, end, whether it is of Latin letters, two hashes and word of each unit: a Latin word, the mark behind it, or any other word.
+
+    Hashes do not depend on where a unit lies, so they are worked out block by block.
+    """
+    parts, a = [], 0
+    while a < len(w.start) or not parts:
+        begin = int(w.start[a]) if len(w.start) else 0
+        b = max(a + 1, int(np.searchsorted(w.end, begin + BLOCK_BYTES, "right")))
+        first, last = w.start[a:b] - begin, w.end[a:b] - begin
+        block = slice(begin, begin + int(last[-1]) if len(last) else begin)
+        start, end, *rest, word = _block_units(data[block], small[block], letter[block], first, last)
+        parts.append((start + begin, end + begin, *rest, word + a))
+        a = b
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
 def token_ids(ids_of: WordIds, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts of a slice, each text closed by the end id, and where each text begins."""
     w = _words.words(data, offsets)
     small, letter = _small(data)
-    start, end, plain, (one, two), word = _units(data, small, letter, w)
+    start, end, plain, one, two, word = _units(data, small, letter, w)
     number, kinds = pd.factorize(one)
     first = np.zeros(len(kinds), np.int64)
     first[number[::-1]] = np.arange(len(number))[::-1]
     # units with one hash must have one second hash; else each is taken by itself
     if len(number) and (two != two[first[number]]).any():
         number, first = np.arange(len(start)), np.arange(len(start))
-    raw, low = data.tobytes(), small.tobytes()
+    # the end id of each text is one more kind of unit
+    count = np.bincount(w.text_index()[word], minlength=len(offsets) - 1) if len(word) else np.zeros(len(offsets) - 1, np.int64)
     s, e, is_plain = start[first], end[first], plain[first]
-    lists: list[list[int]] = [[]] * len(first)
+    del w, letter, start, end, plain, one, two, word
+    raw, low = data.tobytes(), small.tobytes()
+    found: list[bytes] = [b""] * len(first)
     for at, text, of in ((np.flatnonzero(is_plain), low, ids_of.of_stems), (np.flatnonzero(~is_plain), raw, ids_of.of_words)):
         for i, ids in zip(at.tolist(), of([text[a:b] for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)]), strict=True):
-            lists[i] = ids
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+            found[i] = ids
+    found.append(array("I", [END_ID]).tobytes())
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    flat = np.frombuffer(b"".join(found), np.uint32)
     begin = np.cumsum(sizes) - sizes
-    # the end id of each text is one more kind of unit
-    count = np.bincount(w.text_index()[word], minlength=len(offsets) - 1) if len(word) else np.zeros(len(offsets) - 1, np.int64)
     place = np.arange(len(number)) + np.repeat(np.arange(len(count)), count)
-    order = np.full(len(number) + len(count), len(sizes))
+    order = np.full(len(number) + len(count), len(sizes) - 1)
     order[place] = number
-    flat, begin, sizes = np.append(flat, np.uint32(END_ID)), np.append(begin, len(flat)), np.append(sizes, 1)
     length = sizes[order]
     ids = _ragged(flat, begin[order], length)
     ends = np.cumsum(length)[np.cumsum(count + 1) - 1] if len(count) else np.zeros(0, np.int64)
-    return ids.astype("<u4"), np.concatenate([[0], ends])
+    return ids.astype("<u4", copy=False), np.concatenate([[0], ends])
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
